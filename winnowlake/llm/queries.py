@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import sharding, simhash
+from . import decontaminate, piece_bpe, sharding, simhash, token_count
 
 QUERIES = {
     "op2_simhash": simhash.op2,
+    "op3_sentencepiece": piece_bpe.op3,
+    "op6_decontamination": decontaminate.op6,
     "op7_sharding": sharding.op7,
+    "op9_token_counts": token_count.op9,
 }
 
 ORACLE_SQL: dict[str, str] = {}
