@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, decontaminate, langid, piece_bpe, quality_ftrl, quality_rules, sharding, simhash, token_count
+from . import ctw, decontaminate, html_text, langid, piece_bpe, quality_ftrl, quality_rules, sharding, simhash, token_count
 
 QUERIES = {
     "op1_lm_scoring": ctw.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality_rules": quality_rules.op5,
     "op6_decontamination": decontaminate.op6,
     "op7_sharding": sharding.op7,
+    "op8_html_text": html_text.op8,
     "op9_token_counts": token_count.op9,
     "op10_language_id": langid.op10,
 }
