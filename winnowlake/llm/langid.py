@@ -188,33 +188,48 @@ def fit(docs: DataFrame, usable: Column, path: str | None = None, id_col: str =
     return Unigrams(piece_counts(rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), path), path)
 
 
+def _judge(u: Unigrams, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    if not hasattr(u, "table"):
+        u.compile()
+    if not u.langs:
+        return ["und"] * len(texts), np.zeros(len(texts))
+    total = u.texts(texts)
+    best = total.argmax(axis=1)
+    score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+    letters = np.fromiter((any(map(str.isalpha, t)) for t in texts), bool, len(texts))
+    return [u.langs[k] if ok else "und" for k, ok in zip(best.tolist(), letters.tolist(), strict=True)], np.where(letters, score, 0.0)
+
+
 def predict(docs: DataFrame, unigrams: Unigrams, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score (posterior of that language, even priors) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(unigrams)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u = shared.value
-        if not hasattr(u, "table"):
-            u.compile()
         for b in batches:
             texts = texts_of(b.column(1))
             for lo, hi, _, _ in slices(texts):
-                part = texts.slice(lo, hi - lo).to_pylist()
-                lang, score = ["und"] * len(part), np.zeros(len(part))
-                if u.langs:
-                    total = u.texts(part)
-                    best = total.argmax(axis=1)
-                    score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                    letters = np.fromiter((any(map(str.isalpha, t)) for t in part), bool, len(part))
-                    lang = [u.langs[k] if ok else "und" for k, ok in zip(best.tolist(), letters.tolist(), strict=True)]
-                    score = np.where(letters, score, 0.0)
+                lang, score = _judge(shared.value, texts.slice(lo, hi - lo).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
 
     out = rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
 
 
+def accepted(docs: DataFrame, unigrams: Unigrams, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, as they came, whose text has a language with a score of `least` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(unigrams)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = texts_of(b.column(b.schema.get_field_index(text_col)))
+            for lo, hi, _, _ in slices(texts):
+                lang, score = _judge(shared.value, texts.slice(lo, hi - lo).to_pylist())
+                yield b.slice(lo, hi - lo).filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score.tolist(), strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return crc_mod(id_col, 3) == 1
 

@@ -228,30 +228,37 @@ def _sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """id, ids and decoded text of every row; with digests, n_tokens and two SHA-256 in their place."""
+def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """id and the asked columns of every row: ids, decoded, n_tokens, ids_sha256 (of the decimal ids
+    joined by commas), decoded_sha256."""
     path = path or tokenizer_path(MODEL)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = dict(rows.dtypes)["id"]
-    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else f"id {kind}, ids array<int>, decoded string"
+    types = {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string()), "n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
-        decode = bpe.library.decode
+        make = {
+            "ids": lambda ids, _: np.array(ids, np.int32),
+            "decoded": lambda _, text: text,
+            "n_tokens": lambda ids, _: len(ids),
+            "ids_sha256": lambda ids, _: _sha(",".join(map(str, ids))),
+            "decoded_sha256": lambda _, text: _sha(text),
+        }
+        made = [make[c] for c in columns]
         for b in batches:
             texts = texts_of(b.column(1))
             for lo, hi, _, _ in slices(texts, 4 << 20):
-                part = b.column(0).slice(lo, hi - lo)
-                if digests:
-                    out = [(len(ids), _sha(",".join(map(str, ids))), _sha(decode(ids))) for ids in bpe.encode(texts.slice(lo, hi - lo).to_pylist())]
-                    n, a, d = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([part, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                else:
-                    ids = [np.array(x, np.int32) for x in bpe.encode(texts.slice(lo, hi - lo).to_pylist())]
-                    yield pa.RecordBatch.from_arrays([part, pa.array(ids, pa.list_(pa.int32())), pa.array([decode(x.tolist()) for x in ids], pa.string())], names=["id", "ids", "decoded"])
+                out: list[list] = [[] for _ in columns]
+                for ids in bpe.encode(texts.slice(lo, hi - lo).to_pylist()):
+                    text = bpe.library.decode(ids)
+                    for column, f in zip(out, made, strict=True):
+                        column.append(f(ids, text))
+                arrays = [pa.array(x, types[c][1]) for x, c in zip(out, columns, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *arrays], names=["id", *columns])
 
-    return rows.mapInArrow(run, schema)
+    schema = f"id {dict(rows.dtypes)['id']}, " + ", ".join(f"{c} {types[c][0]}" for c in columns)
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    return encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"), digests=True).withColumnRenamed("id", "doc_id")
+    return encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"), columns=("n_tokens", "ids_sha256", "decoded_sha256"))

@@ -44,18 +44,20 @@ def fingerprint(text: bytes, size: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fp (the fingerprint as a signed long) of every row."""
+def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", keep_digest: bool = False) -> DataFrame:
+    """id, fp (the fingerprint as a signed long) and, if asked for, digest (of id and text) of every row."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.xxhash64(id_col, text_col).alias("digest")] if keep_digest else []))
+    kept = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = raw(b.column(1))
             whole = memoryview(data)
             fp = np.fromiter((fingerprint(bytes(whole[lo:hi]), size, seed) for lo, hi in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)), np.uint64, len(offs) - 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(fp.view(np.int64))], names=[*kept, "fp"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, fp long")
+    types = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in kept) + ", fp long")
 
 
 # ---------------------------------------------------------------- tiles
@@ -186,23 +188,35 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp, root (smallest fingerprint of the group) and component (smallest id) of every row."""
-    rows = materialise(fingerprints(docs, size, seed, id_col, text_col), "fingerprints")
+    return _grouped(fingerprints(docs, size, seed, id_col, text_col), radius).select(F.col("id").alias(id_col), "fp", "root", "component")
+
+
+def _grouped(rows: DataFrame, radius: int) -> DataFrame:
+    """rows (id, fp, ...) with root and component."""
+    rows = materialise(rows, "fingerprints")
     fps = materialise(rows.groupBy("fp").agg(F.min("id").alias("least_id")), "distinct-fingerprints")
     roots = components(links(fps.select("fp"), radius))
     fps = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     named = fps.groupBy("root").agg(F.min("least_id").alias("component"))
     fps = fps.join(named, "root").select(F.col("fp").alias("k"), "root", "component")
-    return rows.join(fps, F.col("fp") == F.col("k")).select(F.col("id").alias(id_col), "fp", "root", "component")
+    return rows.join(fps, F.col("fp") == F.col("k")).drop("k")
 
 
 def deduplicated(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """One row of each group of near-duplicates: the one with the smallest id."""
-    groups = near_duplicates(docs, radius)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component"))).select(F.col("doc_id").alias("k_id"), "root").distinct()
-    rows = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("k_id")))
-    order = F.struct(F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")), F.coalesce(F.octet_length("text"), F.lit(-1)))
-    # several rows only where rows share an id
-    one = rows.groupBy("root").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("r"))
+    """One row of each group of near-duplicates, as it came: the one with the smallest id.
+
+    Among rows with that id the one whose digest of id and text is smallest stays; of rows that
+    agree in both, one. The texts are shuffled once, by that digest.
+    """
+    digest = lambda: F.xxhash64("doc_id", "text")
+    rows = fingerprints(docs, keep_digest=True)
+    rows = _grouped(rows, radius)
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("best"))
+    best = best.select(F.col("best.id").alias("b_id"), F.col("best.digest").alias("b_digest"))
+    kept = docs.withColumn("__digest", digest()).join(best, (F.col("__digest") == F.col("b_digest")) & F.col("doc_id").eqNullSafe(F.col("b_id")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
+    one = kept.groupBy("b_digest", "b_id").agg(F.min_by(F.struct(*columns), others).alias("r"))
     return one.select(*[F.col("r").getField(c).alias(c) for c in docs.columns])
 
 
