@@ -12,8 +12,9 @@ bytes in front of a text count as line feeds. code length per byte = -score * lo
 Spark counts (context, byte) grams of all texts, pre-aggregated in every task; the tree is built from
 the distinct grams, dealt by their last two context bytes (grams, not occurrences: a frequent
 context is no larger than a rare one), and joined at the top on at most 256 x 256 nodes. The gram
-and word tables grow with the corpus: they are broadcast in blocks of BLOCK_ROWS at most, one scan of
-the texts each, and what the scans find is added up.
+and word tables grow with the corpus. Only their most frequent keys, HOT_ROWS at most by a count of
+them, are broadcast; for the others each text passes on what it holds, once a key, to be joined with
+the tables and added up.
 
 Defined cases: a null or empty text is the end alone, and so is one of white space; a null id counts
 as the empty text when the fold is drawn; repeated rows count each time and score alike; without any
@@ -28,17 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import HashTable, crc_mod, materialise, mix, powers, prefix_sums, slices
 
 #: Context bytes.
-DEPTH = 5
-#: Most rows of the gram and word tables in one broadcast.
-BLOCK_ROWS = 12_000_000
+DEPTH = 6
+#: Most rows of the gram table, and of the word table, that are broadcast.
+HOT_ROWS = 2_000_000
 #: Distinct keys that a task gathers before it passes them on.
-GATHER = 6_000_000
+GATHER = 4_000_000
 
 GRAM, WORD, END = 0, 1, 2
 _LOG2 = math.log(2)
@@ -246,9 +248,9 @@ class Top:
 
 
 def gram_table(counts: DataFrame, depth: int) -> DataFrame:
-    """key, log_p of every gram."""
+    """kind, key, n, value (log probability of the byte) of every gram."""
     found = counts.where(F.col("kind") == GRAM)
-    fields = [("key", pa.int64()), ("top", pa.bool_()), ("n0", pa.float64()), ("n1", pa.float64()), ("weight", pa.float64()), ("p", pa.list_(pa.float32()))]
+    fields = [("key", pa.int64()), ("top", pa.bool_()), ("n", pa.int64()), ("n0", pa.float64()), ("n1", pa.float64()), ("weight", pa.float64()), ("p", pa.list_(pa.float32()))]
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,88 +266,114 @@ def gram_table(counts: DataFrame, depth: int) -> DataFrame:
             k = keys[lo : lo + (1 << 17)].view(np.int64)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * len(k) + 1, 8, dtype=np.int32)), pa.array(p[lo : lo + (1 << 17)].ravel()))
             nul = pa.nulls(len(k), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.zeros(len(k), bool)), nul, nul, nul, flat], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.zeros(len(k), bool)), pa.array(n[lo : lo + (1 << 17)]), nul, nul, nul, flat], schema=schema)
         for x in tops:
             nul = pa.nulls(len(x.key), pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([pa.array(x.key.view(np.int64)), pa.array(np.ones(len(x.key), bool)), pa.array(x.n0), pa.array(x.n1), pa.array(x.weight), nul], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(x.key.view(np.int64)), pa.array(np.ones(len(x.key), bool)), pa.nulls(len(x.key), pa.int64()), pa.array(x.n0), pa.array(x.n1), pa.array(x.weight), nul], schema=schema)
 
     dealt = found.select("key", "n").repartition(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)))
-    tree = materialise(dealt.mapInArrow(run, "key long, top boolean, n0 double, n1 double, weight double, p array<float>"), "ctw-tree")
+    tree = materialise(dealt.mapInArrow(run, "key long, top boolean, n long, n0 double, n1 double, weight double, p array<float>"), "ctw-tree")
     # at most 256 x 256 rows
     rows = tree.where("top").groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("k")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weight").alias("w")).toArrow()
     shared = counts.sparkSession.sparkContext.broadcast(Top(*(rows.column(k).to_numpy() for k in range(4))))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = b.column(1)
-            p = p.flatten().to_numpy().reshape(-1, 8)
+            p = b.column(2).flatten().to_numpy().reshape(-1, 8)
             log_p = shared.value.log_p(b.column(0).to_numpy().view(np.uint64), p)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(log_p.astype(np.float32))], names=["key", "log_p"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), GRAM, np.int8)), b.column(0), b.column(1), pa.array(log_p)], names=["kind", "key", "n", "value"])
 
-    return tree.where("not top").select("key", "p").mapInArrow(finish, "key long, log_p float")
+    return tree.where("not top").select("key", "n", "p").mapInArrow(finish, "kind byte, key long, n long, value double")
 
 
 # ---------------------------------------------------------------- scoring
-def score(docs: DataFrame, train: Column, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _least(counts: DataFrame, kind: int, most: int) -> int:
+    """The smallest n (0 or a power of two) such that at most `most` keys of the kind have n or more."""
+    size = F.when(F.col("n") > 0, F.floor(F.log2("n"))).otherwise(-1).alias("size")
+    rows = counts.where(F.col("kind") == kind).groupBy(size).count().collect()  # 65 rows at most
+    have = {r["size"]: r["count"] for r in rows}
+    total, least = 0, 64
+    while least >= 0 and total + have.get(least - 1, 0) <= most:
+        least -= 1
+        total += have.get(least, 0)
+    return 0 if least < 0 else 1 << least
+
+
+def _hot(table: DataFrame, kind: int, least: int) -> HashTable:
+    got = table.where((F.col("kind") == kind) & (F.col("n") >= least)).select("key", F.col("value") if kind == GRAM else F.col("n")).toArrow()
+    return HashTable(got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy().astype(np.float32 if kind == GRAM else np.int64))
+
+
+def score(docs: DataFrame, train: Column, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
     """id, train, n_tokens, n_known, train_tokens, base_score, score (log10 of the text), n_bytes."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), train.alias("train"))
     counts = materialise(corpus_counts(rows, depth), "ctw-counts")
-    stats = {r["kind"]: (r["v"], r["n"], r["c"]) for r in counts.groupBy("kind").agg(F.count_if(F.col("n") > 0).alias("v"), F.sum("n").alias("n"), F.count("*").alias("c")).collect()}
-    ends = stats.get(END, (0, 0, 0))[1]
-    distinct, total, _ = stats.get(WORD, (0, 0, 0))
+    stats = {r["kind"]: (r["v"], r["n"]) for r in counts.groupBy("kind").agg(F.count_if(F.col("n") > 0).alias("v"), F.sum("n").alias("n")).collect()}
+    ends = stats.get(END, (0, 0))[1]
+    distinct, total = stats.get(WORD, (0, 0))
     total, floor = total + ends, math.log10(total + ends + 0.5 * (distinct + (ends > 0) + 1))
-    table = gram_table(counts, depth).select(F.lit(GRAM).cast("byte").alias("kind"), "key", F.col("log_p").cast("double").alias("value"))
-    table = materialise(table.unionByName(counts.where(F.col("kind") == WORD).select("kind", "key", F.col("n").cast("double").alias("value"))), "ctw-table")
-    n_blocks = max(1, -(-(stats.get(GRAM, (0, 0, 0))[2] + stats.get(WORD, (0, 0, 0))[2]) // block_rows))
-    kind = dict(rows.dtypes)["id"]
-    schema = f"id {kind}, train boolean, text_hash long, n_tokens long, n_known long, base double, score double, n_bytes long"
-    scans = []
-    for block in range(n_blocks):
-        part = table.where(F.pmod(F.shiftrightunsigned("key", 1), F.lit(n_blocks)) == block) if n_blocks > 1 else table
-        tables = []
-        for what in (GRAM, WORD):
-            got = part.where(F.col("kind") == what).select("key", "value").toArrow()
-            values = got.column("value").to_numpy()
-            tables.append(HashTable(got.column("key").to_numpy().view(np.uint64), values.astype(np.float32 if what == GRAM else np.int64)))
-        shared = spark.sparkContext.broadcast(tables)
-        del tables
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, block=block) -> Iterator[pa.RecordBatch]:
-            known_grams, known_words = shared.value
-            for b in batches:
-                for lo, hi, data, offs in slices(b.column(1), 1 << 20):
-                    s, starts, ends_ = stream(data, offs, depth)
-                    size = ends_ - starts
-                    begin = np.cumsum(size) - size
-                    log_p = known_grams.find(grams(s, starts, ends_, depth))[1].astype(np.float64)
-                    w, first = words(s, starts, ends_)
-                    mine = (w >> np.uint64(1)) % np.uint64(n_blocks) == block if n_blocks > 1 else np.ones(len(w), bool)
-                    seen = np.zeros(len(w), np.int64)
-                    seen[mine] = known_words.find(w[mine])[1]
-                    # the end counts as a token, in the first block
-                    own = np.repeat(np.arange(hi - lo), np.diff(first))
-                    add = np.where(mine, np.log10(seen + 0.5) - floor, 0.0)
-                    base = np.bincount(own, weights=add, minlength=hi - lo)
-                    n_known = np.bincount(own, weights=(seen > 0), minlength=hi - lo).astype(np.int64)
-                    if block == 0:
-                        base += math.log10(ends + 0.5) - floor
-                        n_known += ends > 0
-                    digest = np.add.reduceat(mix(np.append(w, np.uint64(0)) + np.arange(len(w) + 1, dtype=np.uint64)), np.minimum(first[:-1], len(w)))
-                    part = b.slice(lo, hi - lo)
-                    columns = [part.column(0), part.column(2), digest.view(np.int64), np.diff(first) + 1, n_known, base, np.add.reduceat(log_p, begin) / math.log(10), size]
-                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["id", "train", "text_hash", "n_tokens", "n_known", "base", "score", "n_bytes"])
-
-        scans.append(rows.mapInArrow(run, schema))
-    out = scans[0]
-    if n_blocks > 1:  # equal rows meet n_blocks times each
-        for x in scans[1:]:
-            out = out.unionByName(x)
-        times = (F.count("*") / n_blocks).cast("int")
-        sums = [(F.sum(c) / (F.count("*") / n_blocks)).alias(c) for c in ("n_known", "base", "score")]
-        out = out.groupBy("id", "train", "text_hash", "n_tokens", "n_bytes").agg(times.alias("times"), *sums)
-        out = out.withColumn("n_known", F.col("n_known").cast("long")).withColumn("times", F.explode(F.sequence(F.lit(1), "times")))
-    return out.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", "n_bytes")
+    table = gram_table(counts, depth)
+    words_ = counts.where(F.col("kind") == WORD).select("kind", "key", "n", F.log10(F.col("n") + 0.5).alias("value"))
+    table = materialise(table.unionByName(words_), "ctw-table")
+    least = {kind: _least(table, kind, hot_rows) for kind in (GRAM, WORD)}
+    shared = spark.sparkContext.broadcast([_hot(table, kind, least[kind]) for kind in (GRAM, WORD)])
+    kind_of_id = dict(rows.dtypes)["id"]
+    names = ["rid", "id", "train", "n_tokens", "n_known", "base", "score", "n_bytes", "kind", "key", "times"]
+    schema = f"rid long, id {kind_of_id}, train boolean, n_tokens long, n_known long, base double, score double, n_bytes long, kind byte, key long, times long"
+
+    def cold(row: np.ndarray, key: np.ndarray, kind: int, rid: int, id_type: pa.DataType) -> pa.RecordBatch:
+        order = np.lexsort((key, row))
+        row, key = row[order], key[order]
+        at = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (key[1:] != key[:-1]))[: len(row)])
+        times = np.diff(np.append(at, len(row)))
+        nul = [pa.nulls(len(at), t) for t in (id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(row[at] + rid), *nul, pa.array(np.full(len(at), kind, np.int8)), pa.array(key[at].view(np.int64)), pa.array(times)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known_grams, known_words = shared.value
+        rid = TaskContext.get().partitionId() << 36  # the table is written once, so a repeated task can't mix numbers
+        for b in batches:
+            for lo, hi, data, offs in slices(b.column(1), 1 << 20):
+                n = hi - lo
+                s, starts, stops = stream(data, offs, depth)
+                size = stops - starts
+                g = grams(s, starts, stops, depth)
+                found, log_p = known_grams.find(g)
+                own = np.repeat(np.arange(n), size)
+                total_log = np.bincount(own, weights=log_p, minlength=n)
+                if not found.all():
+                    yield cold(own[~found], g[~found], GRAM, rid, b.schema.field(0).type)
+                w, first = words(s, starts, stops)
+                found, seen = known_words.find(w)
+                own = np.repeat(np.arange(n), np.diff(first))
+                base = np.bincount(own, weights=np.where(found, np.log10(seen + 0.5) - floor, 0.0), minlength=n)
+                n_known = np.bincount(own, weights=found & (seen > 0), minlength=n).astype(np.int64)
+                if not found.all():
+                    yield cold(own[~found], w[~found], WORD, rid, b.schema.field(0).type)
+                part = b.slice(lo, n)
+                columns = [np.arange(n) + rid, part.column(0), part.column(2), np.diff(first) + 1, n_known + int(ends > 0), base + math.log10(ends + 0.5) - floor, total_log, size]
+                nul = [pa.nulls(n, t) for t in (pa.int8(), pa.int64(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(c if isinstance(c, pa.Array) else pa.array(c) for c in columns), *nul], names=names)
+                rid += n
+
+    seen = materialise(rows.mapInArrow(run, schema), "ctw-scan")
+    rest = table.where(((F.col("kind") == GRAM) & (F.col("n") < least[GRAM])) | ((F.col("kind") == WORD) & (F.col("n") < least[WORD])))
+    rest = rest.select(F.col("kind").alias("k"), F.col("key").alias("c_key"), "n", "value")
+    pairs = seen.where(F.col("kind").isNotNull()).select("rid", "kind", "key", "times")
+    pairs = pairs.join(rest, (F.col("kind") == F.col("k")) & (F.col("key") == F.col("c_key")), "left")
+    word, times = F.col("kind") == WORD, F.col("times")
+    more = pairs.groupBy(F.col("rid").alias("r")).agg(
+        F.sum(F.when(word, times * (F.coalesce("value", F.lit(math.log10(0.5))) - floor)).otherwise(0.0)).alias("base_more"),
+        F.sum(F.when(word & (F.col("n") > 0), times).otherwise(0)).alias("known_more"),
+        F.sum(F.when(word, 0.0).otherwise(times * F.col("value"))).alias("score_more"),
+    )
+    out = seen.where(F.col("kind").isNull()).join(more, F.col("rid") == F.col("r"), "left")
+    add = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
+    return out.select(
+        F.col("id").alias(id_col), "train", "n_tokens", add("n_known", "known_more").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        add("base", "base_more").alias("base_score"), (add("score", "score_more") / math.log(10)).alias("score"), "n_bytes",
+    )
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
