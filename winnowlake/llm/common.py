@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +139,20 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * inv[starts])
 
 
+_claimed: list = [None, None]
+
+
+def claim(owner: object, clear: Callable[[], None]) -> None:
+    """Say that owner's memory of things met is used in this worker now. Workers live on from stage to
+    stage: what the owner before remembered is cleared, so that only one such memory stands."""
+    if _claimed[0] is not owner:
+        if _claimed[1] is not None:
+            _claimed[1]()
+        _claimed[:] = [owner, clear]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 class HashTable:
     """Open addressing in numpy: uint64 keys to values; plain arrays, so it pickles as such."""
 

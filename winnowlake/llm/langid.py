@@ -25,7 +25,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashTable, crc_mod, prefix_sums, slices, span_hashes, texts_of, tokenizer_path
+from .common import HashTable, claim, crc_mod, prefix_sums, slices, span_hashes, texts_of, tokenizer_path
 from .piece_bpe import MARK, MODEL, model
 
 #: Labelled rows that a fit takes, about.
@@ -88,6 +88,9 @@ class Unigrams:
         self.__dict__.update(state)
         self.memo, self.rows = {}, np.zeros((1024, len(self.langs)))
 
+    def clear(self) -> None:
+        self.memo, self.rows = {}, np.zeros((1024, len(self.langs)))
+
     def compile(self) -> None:
         bpe = model(self.path)
         keys, ids, self.longest = [], [], 1
@@ -152,6 +155,7 @@ class Unigrams:
 
     def texts(self, texts: list[str]) -> np.ndarray:
         """Log probability of every text in every language."""
+        claim(self, self.clear)
         split = [t.lower().split() for t in texts]
         used = set(chain.from_iterable(split))
         new = list(used.difference(self.memo))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashTable, slices, texts_of, tokenizer_path
+from .common import HashTable, claim, slices, texts_of, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -193,8 +193,12 @@ class PieceBpe:
         found = _CHUNK.findall(MARK + text.replace(" ", MARK))
         return [k if k.startswith(MARK * 2) else k[1:] for k in found]
 
+    def clear(self) -> None:
+        self.memo, self.again = {}, set()
+
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """The ids of every text."""
+        claim(self, self.clear)
         split = [self.keys(t) for t in texts]
         used = set(chain.from_iterable(split))
         memo = self.memo

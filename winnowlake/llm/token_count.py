@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of, tokenizer_path
+from .common import claim, slices, texts_of, tokenizer_path
 from .piece_bpe import MARK, MODEL, PieceBpe
 
 #: Code points of a chunk.
@@ -77,6 +77,9 @@ class Transducer:
         self.add = np.zeros(1 << TABLE_BITS, np.int8)
         self.filled = 0
 
+    def release(self) -> None:
+        self.states, self.ids, self.keys, self.to, self.add = [], {}, None, None, None
+
     def piece(self, s: str) -> bool:
         """Whether s stays one symbol when it is merged alone."""
         if (ok := self.whole.get(s)) is None:
@@ -176,7 +179,8 @@ class Transducer:
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of every text."""
-        if len(self.states) > MOST_STATES or self.filled > (1 << TABLE_BITS) // 2:
+        claim(self, self.release)
+        if self.keys is None or len(self.states) > MOST_STATES or self.filled > (1 << TABLE_BITS) // 2:
             self.clear()
         out = np.zeros(len(texts), np.int64)
         full = [k for k, t in enumerate(texts) if t]
