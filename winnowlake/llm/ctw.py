@@ -40,7 +40,9 @@ DEPTH = 6
 #: Most rows of the gram table, and of the word table, that are broadcast.
 HOT_ROWS = 2_000_000
 #: Distinct keys that a task gathers before it passes them on.
-GATHER = 4_000_000
+GATHER = 2_000_000
+#: Grams from which on the tree of a task is built in blocks; a block ends with a two-byte context.
+BLOCK = 250_000
 
 GRAM, WORD, END = 0, 1, 2
 _LOG2 = math.log(2)
@@ -253,12 +255,28 @@ def gram_table(counts: DataFrame, depth: int) -> DataFrame:
     fields = [("key", pa.int64()), ("top", pa.bool_()), ("n", pa.int64()), ("n0", pa.float64()), ("n1", pa.float64()), ("weight", pa.float64()), ("p", pa.list_(pa.float32()))]
     schema = pa.schema(fields)
 
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Grams in order of their two nearest context bytes, cut between those."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for b in batches:
+            held.append((b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()))
+            size += b.num_rows
+            if size > BLOCK:
+                near = held[-1][0] >> np.uint64(8) & np.uint64(0xFFFF)
+                cut = int(np.flatnonzero(near == near[-1])[0]) if len(near) else 0
+                if cut:
+                    k, n = held.pop()
+                    yield np.concatenate([*(x for x, _ in held), k[:cut]]), np.concatenate([*(x for _, x in held), n[:cut]])
+                    held, size = [(k[cut:], n[cut:])], len(k) - cut
+        if size:
+            yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if not got:
-            return
-        keys = np.concatenate([k for k, _ in got]).view(np.uint64)
-        n = np.concatenate([n for _, n in got])
+        for keys, n in blocks(batches):
+            yield from built(keys, n)
+
+    def built(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(keys)
         keys, n = keys[order], n[order]
         p, tops = subtree(keys, n, depth)
@@ -271,7 +289,8 @@ def gram_table(counts: DataFrame, depth: int) -> DataFrame:
             nul = pa.nulls(len(x.key), pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([pa.array(x.key.view(np.int64)), pa.array(np.ones(len(x.key), bool)), pa.nulls(len(x.key), pa.int64()), pa.array(x.n0), pa.array(x.n1), pa.array(x.weight), nul], schema=schema)
 
-    dealt = found.select("key", "n").repartition(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)))
+    near = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
+    dealt = found.select("key", "n").repartition(near).sortWithinPartitions(near)
     tree = materialise(dealt.mapInArrow(run, "key long, top boolean, n long, n0 double, n1 double, weight double, p array<float>"), "ctw-tree")
     # at most 256 x 256 rows
     rows = tree.where("top").groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("k")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weight").alias("w")).toArrow()
@@ -299,9 +318,22 @@ def _least(counts: DataFrame, kind: int, most: int) -> int:
     return 0 if least < 0 else 1 << least
 
 
-def _hot(table: DataFrame, kind: int, least: int) -> HashTable:
-    got = table.where((F.col("kind") == kind) & (F.col("n") >= least)).select("key", F.col("value") if kind == GRAM else F.col("n")).toArrow()
-    return HashTable(got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy().astype(np.float32 if kind == GRAM else np.int64))
+class Hot:
+    """Keys and values; plain arrays where it is made and sent, a hash table where it is asked."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.pairs, self.table = (keys, values), None
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.table is None:
+            self.table, self.pairs = HashTable(*self.pairs), None
+        return self.table.find(keys)
+
+
+def _hot(table: DataFrame, kind: int, least: int) -> Hot:
+    value = F.col("value").cast("float") if kind == GRAM else F.col("n")
+    got = table.where((F.col("kind") == kind) & (F.col("n") >= least)).select("key", value).toArrow()
+    return Hot(got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy())
 
 
 def score(docs: DataFrame, train: Column, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -358,6 +390,7 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH, id_col: str = "doc
                 rid += n
 
     seen = materialise(rows.mapInArrow(run, schema), "ctw-scan")
+    shared.destroy()  # nothing reads it again
     rest = table.where(((F.col("kind") == GRAM) & (F.col("n") < least[GRAM])) | ((F.col("kind") == WORD) & (F.col("n") < least[WORD])))
     rest = rest.select(F.col("kind").alias("k"), F.col("key").alias("c_key"), "n", "value")
     pairs = seen.where(F.col("kind").isNotNull()).select("rid", "kind", "key", "times")
