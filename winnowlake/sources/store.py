@@ -177,6 +177,9 @@ class ParquetMetadataHandle(MetadataHandle):
         size = folder.bytes(whole[-1]) if whole else 0
         parts = max(1, -(-size // self.conf.of(config.MAX_FILE_BYTES)))
         new = f"gen-{(int(_GENERATION.match(old[-1])[1]) if old else 0) + 1:08d}"
+        # the generation makes the field metadata new each time: Catalyst drops an alias whose metadata its
+        # input already has, and the metadata are then lost where rows of the last generation are regrouped
+        named = {c: d | {"generation": new} for c, d in named.items()}
         rows = rows.repartition(parts).select(*[F.col(f"`{c}`").alias(c, metadata=named.get(c, {})) for c in columns])
         writer = rows.write.option("maxRecordsPerFile", self.conf.of(config.MAX_RECORDS))
         for k, v in self.writer_options(indexes).items():
