@@ -153,6 +153,11 @@ def claim(owner: object, clear: Callable[[], None]) -> None:
         pa.default_memory_pool().release_unused()
 
 
+def release() -> None:
+    """Clear what another operator remembers in this worker; for operators that remember nothing."""
+    claim("", lambda: None)
+
+
 class HashTable:
     """Open addressing in numpy: uint64 keys to values; plain arrays, so it pickles as such."""
 

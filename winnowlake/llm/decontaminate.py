@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, HashTable, prefix_sums, slices, span_hashes, spans, texts_of
+from .common import LOWER, HashTable, prefix_sums, release, slices, span_hashes, spans, texts_of
 
 #: Most benchmark text in one broadcast.
 BLOCK_BYTES = 32 << 20
@@ -104,6 +104,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
         shared = docs.sparkSession.sparkContext.broadcast(Index(block, size))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            release()
             index = shared.value
             for b in batches:
                 for lo, hi, data, offs in slices(b.column(1)):
@@ -149,6 +150,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_s
         shared = docs.sparkSession.sparkContext.broadcast(Index(block, size))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            release()
             index = shared.value
             for b in batches:
                 at = b.schema.get_field_index("text")

@@ -33,7 +33,7 @@ FIT_ROWS = 20_000
 #: Added to each piece's count.
 SMOOTHING = 0.05
 #: Words a worker remembers.
-MEMO = 600_000
+MEMO = 300_000
 #: Code points up to which words are summed in plain probabilities; longer ones in logarithms.
 PLAIN = 24
 

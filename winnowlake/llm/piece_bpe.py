@@ -30,7 +30,7 @@ from .common import HashTable, claim, slices, texts_of, tokenizer_path
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Chunks a worker remembers, and the longest of them.
-MEMO, MEMO_CHARS = 800_000, 64
+MEMO, MEMO_CHARS = 400_000, 64
 #: Code points of chunks that are encoded in lock step, by upper bounds of their length.
 LENGTHS = (6, 9, 12, 16, 24, 32)
 

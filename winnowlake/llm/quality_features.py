@@ -9,6 +9,8 @@ its share of the tokens (or bytes) of the text; a bin's value is 1.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 from .common import LOWER, SPACE, mix, prefix_sums, span_hashes
@@ -25,14 +27,16 @@ _UPPER = np.zeros(256, np.int64)
 _UPPER[0x41:0x5B] = 1
 _EDGES = np.array([1e-9, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9])
 _ONE = np.uint64(1)
+#: Bytes of text that one step works on, and positions of character n-grams taken at once.
+SLICE_BYTES, STEP = 1 << 20, 1 << 18
 
 
 def _bucket(h: np.ndarray, salt: int) -> np.ndarray:
     return (mix(h + np.uint64(salt)) & np.uint64(HALF - 1)).astype(np.int64)
 
 
-def features(data: np.ndarray, offs: np.ndarray, chars: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket, value) of every feature of every text of a slice; buckets may repeat."""
+def features(data: np.ndarray, offs: np.ndarray, chars: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, bucket, value) of the features of all texts of a slice, group by group; buckets may repeat."""
     n_rows = len(offs) - 1
     cls = _CLASS[data]
     prev = np.zeros(len(data), np.uint8)
@@ -58,7 +62,9 @@ def features(data: np.ndarray, offs: np.ndarray, chars: bool = False) -> tuple[n
     value = share[row]
     same_row = np.append(False, row[1:] == row[:-1])[: len(row)]
     two = np.flatnonzero(same_row)
-    rows, buckets, values = [row, row[two], row[two]], [_bucket(h, 1), _bucket(h[two] * np.uint64(0x9E3779B97F4A7C15) ^ h[two - 1], 2), _bucket((shape[two] * 8 + shape[two - 1]).astype(np.uint64), 3)], [value, value[two], value[two]]
+    yield row, _bucket(h, 1), value
+    yield row[two], _bucket(h[two] * np.uint64(0x9E3779B97F4A7C15) ^ h[two - 1], 2), value[two]
+    yield row[two], _bucket((shape[two] * 8 + shape[two - 1]).astype(np.uint64), 3), value[two]
     # bins
     equal = np.bincount(row[two][h[two] == h[two - 1]], minlength=n_rows) * share
     at = np.arange(max(0, len(h) - 3))
@@ -73,28 +79,25 @@ def features(data: np.ndarray, offs: np.ndarray, chars: bool = False) -> tuple[n
         twin[:-1] |= eq
     again = np.bincount(row[at][order][twin], minlength=n_rows) * share
     for salt, frac in ((4, equal), (5, again)):
-        rows.append(np.arange(n_rows))
-        buckets.append(_bucket(np.searchsorted(_EDGES, frac).astype(np.uint64), salt))
-        values.append(np.where(n > 0, 1.0, 0.0))
+        yield np.arange(n_rows), _bucket(np.searchsorted(_EDGES, frac).astype(np.uint64), salt), np.where(n > 0, 1.0, 0.0)
     if chars:
-        b = low.astype(np.uint64) + _ONE
         owner = np.repeat(np.arange(n_rows), np.diff(offs))
         per = 1.0 / np.maximum(np.diff(offs), 1)
         for k in (3, 5):
-            if len(b) >= k:
-                g = b[: len(b) - k + 1].copy()
+            for lo in range(0, len(low) - k + 1, STEP):
+                hi = min(lo + STEP, len(low) - k + 1)
+                b = low[lo : hi + k - 1].astype(np.uint64) + _ONE
+                g = b[: hi - lo].copy()
                 for j in range(1, k):
-                    g = g * np.uint64(0x100000001B3) + b[j : len(b) - k + 1 + j]
-                inside = owner[: len(g)] == owner[k - 1 :]
-                rows.append(owner[: len(g)][inside])
-                buckets.append(_bucket(g[inside], 5 + k) + HALF)
-                values.append(per[rows[-1]])
-    return np.concatenate(rows), np.concatenate(buckets), np.concatenate(values)
+                    g = g * np.uint64(0x100000001B3) + b[j : j + hi - lo]
+                at = owner[lo:hi]
+                inside = at == owner[lo + k - 1 : hi + k - 1]
+                yield at[inside], _bucket(g[inside], 5 + k) + HALF, per[at[inside]]
 
 
 def sparse(data: np.ndarray, offs: np.ndarray, chars: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
     """(buckets, values) of every text, each bucket once; for fitting."""
-    row, bucket, value = features(data, offs, chars)
+    row, bucket, value = (np.concatenate(x) for x in zip(*features(data, offs, chars), strict=True))
     key = row << BITS | bucket
     u, inv = np.unique(key, return_inverse=True)
     v = np.bincount(inv, weights=value)
@@ -104,8 +107,10 @@ def sparse(data: np.ndarray, offs: np.ndarray, chars: bool = False) -> list[tupl
 
 def dots(data: np.ndarray, offs: np.ndarray, weights: np.ndarray, chars: bool = False) -> np.ndarray:
     """Sparse dot product of every text's features with the weights."""
-    row, bucket, value = features(data, offs, chars)
-    return np.bincount(row, weights=weights[bucket] * value, minlength=len(offs) - 1)
+    out = np.zeros(len(offs) - 1)
+    for row, bucket, value in features(data, offs, chars):
+        out += np.bincount(row, weights=weights[bucket] * value, minlength=len(out))
+    return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

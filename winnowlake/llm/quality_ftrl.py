@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices
-from .quality_features import BITS, dots, sigmoid, sparse
+from .common import crc_mod, release, slices
+from .quality_features import BITS, SLICE_BYTES, dots, sigmoid, sparse
 
 #: Labelled rows that a fit takes, about.
 FIT_ROWS = 4000
@@ -40,8 +40,9 @@ def labelled(docs: DataFrame, labels: DataFrame, usable: Column, most_rows: int
     rows = rows.join(marks, F.col("id") == F.col("l_id")).select(digest.alias("d"), "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
-            for lo, hi, data, offs in slices(b.column(2)):
+            for lo, hi, data, offs in slices(b.column(2), SLICE_BYTES):
                 got = sparse(data, offs, chars)
                 part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.astype(np.int32) for x, _ in got], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in got], pa.list_(pa.float32()))], names=["d", "y", "k", "v"])
@@ -85,8 +86,9 @@ def scored(docs: DataFrame, weights: np.ndarray, intercept: float, id_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
-            for lo, hi, data, offs in slices(b.column(1)):
+            for lo, hi, data, offs in slices(b.column(1), SLICE_BYTES):
                 p = sigmoid(dots(data, offs, shared.value) + intercept)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(p)], names=["id", "score"])
 

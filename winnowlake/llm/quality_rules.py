@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, crc_mod, mix, prefix_sums, slices, span_hashes, spans
-from .quality_features import dots, sigmoid
+from .common import SPACE, crc_mod, mix, prefix_sums, release, slices, span_hashes, spans
+from .quality_features import SLICE_BYTES, dots, sigmoid
 from .quality_ftrl import fit_ftrl, labelled
 
 #: Labelled rows that a fit takes, about.
@@ -127,8 +127,9 @@ def judged(docs: DataFrame, rules: Rules, keep_columns: bool = False, id_col: st
     if keep_columns:
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             for b in batches:
-                for lo, hi, data, offs in slices(b.column(b.schema.get_field_index(text_col))):
+                for lo, hi, data, offs in slices(b.column(b.schema.get_field_index(text_col)), SLICE_BYTES):
                     yield b.slice(lo, hi - lo).filter(pa.array(judge(data, offs)[3]))
 
         return docs.mapInArrow(keep, docs.schema)
@@ -136,8 +137,9 @@ def judged(docs: DataFrame, rules: Rules, keep_columns: bool = False, id_col: st
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
-            for lo, hi, data, offs in slices(b.column(1)):
+            for lo, hi, data, offs in slices(b.column(1), SLICE_BYTES):
                 base, p, failed, kept = judge(data, offs)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *map(pa.array, base.values()), pa.array(p), pa.array(failed), pa.array(kept)], names=["id", *base, "probability", "base_failed", "kept"])
 

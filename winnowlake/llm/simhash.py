@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, raw
+from .common import materialise, raw, release
 
 #: Most fingerprints in a tile.
 TILE = 8192
@@ -50,6 +50,7 @@ def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42, id_col: str = "
     kept = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             data, offs = raw(b.column(1))
             whole = memoryview(data)
@@ -140,6 +141,7 @@ def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     work = work.select(F.expr("ca = cb and sa = sb").alias("same"), "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         forest = Forest()
         for x in batches:
             same = x.column(0).to_pylist()
@@ -165,7 +167,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, root) for every node of edges (u, v); root is the smallest node it reaches.
+    """(node, root) for every node of edges (u, v) that is no root; root is the smallest node it reaches.
 
     Large and small stars in turn: each node's neighbours move to the smallest of them. Minima are
     aggregated before they are joined, so that a hub is never gathered in one task.
