@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, release, slices
+from .common import crc_mod, materialise, release, slices
 from .quality_features import BITS, SLICE_BYTES, dots, sigmoid, sparse
 
 #: Labelled rows that a fit takes, about.
@@ -45,15 +45,12 @@ def labelled(docs: DataFrame, labels: DataFrame, usable: Column, most_rows: int
             for lo, hi, data, offs in slices(b.column(2), SLICE_BYTES):
                 got = sparse(data, offs, chars)
                 part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.astype(np.int32) for x, _ in got], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in got], pa.list_(pa.float32()))], names=["d", "y", "k", "v"])
-
-    found = rows.mapInArrow(run, "d long, y int, k array<int>, v array<float>").toArrow()
-    out = []
-    for chunk in found.to_batches():
-        for i in range(chunk.num_rows):
-            d = chunk.column(0)[i].as_py()
-            out.append((d, chunk.column(1)[i].as_py(), chunk.column(2)[i].values.to_numpy(), chunk.column(3)[i].values.to_numpy().astype(np.float64)))
-    out.sort(key=lambda r: (r[0], r[1], len(r[2]), float(r[3].sum())))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.astype(np.int32).tobytes() for x, _ in got], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in got], pa.binary())], names=["d", "y", "k", "v"])
+
+    # bytes, one partition at a time: the driver never holds the rows twice
+    found = materialise(rows.mapInArrow(run, "d long, y int, k binary, v binary"), "labelled")
+    out = [(r["d"], r["y"], np.frombuffer(r["k"], np.int32), np.frombuffer(r["v"], np.float32)) for r in found.toLocalIterator()]
+    out.sort(key=lambda r: (r[0], r[1], len(r[2]), float(r[3].sum(dtype=np.float64)), r[3].tobytes()))
     return [(d % 1000, y, k, v) for d, y, k, v in out]
 
 
