@@ -279,3 +279,33 @@ def test_language_id(docs, empty):
     for w in ("fox", "über", "日x", "sleeping"):
         assert u.forward([w])[0].tolist() == pytest.approx([total(piece_bpe.MARK + w, k) for k in range(len(u.langs))])
     assert {r["lang_pred"] for r in langid.predict(docs, langid.fit(empty, ~langid.held_out())).collect()} == {"und"}
+
+
+def test_language_id_of_words_beyond_plain_floats(docs):
+    u = langid.fit(docs, ~langid.held_out())
+    langid._judge(u, ["warm"])
+    clean = [" ".join(EN), " ".join(DE)]
+    pieces = piece_bpe.model(u.path).pieces
+
+    def total(word, lang):  # in logs, code point by code point
+        sums = [0.0]
+        for end in range(1, len(word) + 1):
+            found = []
+            for at in range(end):
+                p = pieces.get(word[at:end])
+                if p:
+                    found.append(sums[at] + u.log_p[p[1], lang])
+                elif at == end - 1:
+                    found.append(sums[at] + u.log_p[len(u.log_p) - 5 + len(word[at].encode()), lang])
+            sums.append(max(found) + math.log(sum(math.exp(x - max(found)) for x in found)))
+        return sums[-1]
+
+    alone = u.texts(clean)
+    odd = ["".join(chr(0x1F400 + k) for k in range(12)), "\U0001d4d0" * 15, "\U0001f1e9\U0001f1ea" * 7, "\u16a0" * 22, "\U00010330" * 23, "\U00010330" * 40]
+    for w in odd:
+        assert u.forward([w, "fox"])[0].tolist() == pytest.approx([total(piece_bpe.MARK + w, k) for k in range(len(u.langs))])
+        u.clear()
+        got = u.texts([clean[0], f"so {w}", "", *clean, " ", clean[0]])
+        assert (got[[0, 3, 4, 6]] == alone[[0, 0, 1, 0]]).all() and (got[[2, 5]] == 0).all()
+        lang, score = langid._judge(u, [f"{clean[1]} {w}", w, *clean])
+        assert lang[0] == lang[3] == "de" and lang[2] == "en" and (score[[0, 2, 3]] > 0.9).all() and 0 <= score[1] <= 1

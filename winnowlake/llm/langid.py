@@ -36,6 +36,8 @@ SMOOTHING = 0.05
 MEMO = 300_000
 #: Code points up to which words are summed in plain probabilities; longer ones in logarithms.
 PLAIN = 24
+#: Words whose plain sum is under this, near the end of what a float holds, are summed in logarithms too.
+TINY = 1e-280
 
 
 
@@ -128,8 +130,9 @@ class Unigrams:
         """Log probability of every word in every language, all segmentations summed."""
         out = np.zeros((len(words), len(self.langs)))
         size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        logs = size > PLAIN
         for plain in (True, False):
-            rows = np.flatnonzero((size <= PLAIN) == plain)
+            rows = np.flatnonzero(logs != plain)
             if not len(rows):
                 continue
             width = int(size[rows].max()) + 1
@@ -150,7 +153,10 @@ class Unigrams:
                 else:
                     alpha[w[first], e] = np.logaddexp.reduceat(alpha[w, start[lo:hi]] + self.log_p[slot[lo:hi]], first)
             last = alpha[np.arange(len(rows)), size[rows]]
-            out[rows] = np.log(last) if plain else last
+            if plain:
+                logs[rows] = (last < TINY).any(axis=1)
+                last = np.log(np.maximum(last, TINY))
+            out[rows] = last
         return out
 
     def texts(self, texts: list[str]) -> np.ndarray:
@@ -175,10 +181,10 @@ class Unigrams:
         self.memo.update(zip(new, range(base, base + len(new)), strict=True))
         n = np.fromiter(map(len, split), np.int64, len(split))
         at = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
-        sums = np.zeros((len(at) + 1, len(self.langs)))
-        np.cumsum(self.rows[at], axis=0, out=sums[1:])
-        cut = np.append(0, np.cumsum(n))
-        return sums[cut[1:]] - sums[cut[:-1]]
+        out, some = np.zeros((len(split), len(self.langs))), np.flatnonzero(n)
+        if len(some):
+            out[some] = np.add.reduceat(self.rows[at], (np.cumsum(n) - n)[some], axis=0)
+        return out
 
 
 
