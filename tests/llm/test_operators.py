@@ -226,6 +226,30 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contamination(docs, bench.limit(0)).where("size(items) > 0").count() == 0
 
 
+def test_decontamination_does_not_depend_on_blocks(spark, docs):
+    w = lambda p, n: [f"{p}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(n)]
+    one, two, bridge, clean = w("one", 30), w("two", 30), w("bridge", 10), w("clean", 60)
+    items = [("1", " ".join(one)), ("2", " ".join(two)), ("3", " ".join(bridge)), ("4", " ".join(w("four", 12))), ("5", None), (None, "tango sierra")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    texts = [
+        [*one, *clean[:40], *two],  # 60 of 100 words: goes
+        [*one[:20], *clean, *two[:20]],  # 40 of 100: both passages are taken out
+        [*clean[:20], *bridge[:5], *one[:12], *bridge[5:], *clean[20:]],  # taking out 1 makes a window of 3
+        [*clean[:20], *two[:5], *bridge[:5], *one[:10], *bridge[5:], *two[5:10], *clean[20:]],  # and that one of 2
+        clean, one,
+    ]
+    rows = [(200 + k, " ".join(t), "en", "s", len(" ".join(t)), 1, "r") for k, t in enumerate(texts)]
+    df = docs.union(spark.createDataFrame(rows, SCHEMA)).repartition(2)
+    order = lambda rows: sorted(map(str, rows))
+    want = decontaminate.decontaminated(df, bench)
+    by = {r["doc_id"]: r for r in want.collect() if (r["doc_id"] or 0) >= 200}
+    assert sorted(by) == [201, 202, 203, 204] and all(by[k]["text"].split() == clean and by[k]["n_chars"] == len(by[k]["text"]) for k in by)
+    for block in (40, 200):
+        assert len(list(decontaminate.blocks(bench, "item_id", "text", block))) > 1
+        got = decontaminate.decontaminated(df, bench, block_bytes=block)
+        assert got.columns == df.columns and order(got.collect()) == order(want.collect())
+
+
 def test_sharding(docs, empty):
     n, out = docs.count(), sharding.stratified_shards(docs, 4).collect()
     sizes = Counter(r["shard"] for r in out)

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import LOWER, HashTable, prefix_sums, release, slices, span_hashes, spans, texts_of
+from .common import LOWER, HashTable, materialise, prefix_sums, release, slices, span_hashes, spans
 
 #: Most benchmark text in one broadcast.
 BLOCK_BYTES = 32 << 20
@@ -28,6 +29,7 @@ BLOCK_BYTES = 32 << 20
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 RUNS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+RUNS_TYPE = ArrayType(StructType([StructField("lo", IntegerType()), StructField("hi", IntegerType())]))
 
 
 class Words:
@@ -137,54 +139,119 @@ def clean_text(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_share: float = 0.5) -> DataFrame:
+def rewritten(b: pa.RecordBatch, at: int, found: dict[int, list[tuple[int, int]]], n_words: dict[int, int] | None, most_share: float, again: Index | None = None) -> tuple[list[pa.Array], np.ndarray]:
+    """(columns with the runs found by row taken out, rows that stay). With n_words a row goes if most_share
+    of its words or more are hit; what `again` finds in a text so made goes too. Column `at` is the text."""
+    arrays, keep = list(b.columns), np.ones(b.num_rows, bool)
+    if not found:
+        return arrays, keep
+    old = b.column(at)
+    before = old.to_pylist()
+    texts = list(before)
+    for r, runs in found.items():
+        if n_words is not None and sum(y - x for x, y in runs) >= most_share * n_words[r]:
+            keep[r] = False
+            continue
+        text = clean_text(texts[r].encode(), runs)
+        while again is not None:
+            one = Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+            if not (more := merged([(s, e) for _, s, e, _ in again.hits(one)])):
+                break
+            text = clean_text(text, more)
+        keep[r] = bool(text.strip())
+        texts[r] = text.decode()
+    arrays[at] = pa.array(texts, old.type)
+    if (n := b.schema.get_field_index("n_chars")) >= 0:
+        new = [c if t == o or o is None else len(t) for c, t, o in zip(b.column(n).to_pylist(), texts, before, strict=True)]
+        arrays[n] = pa.array(new, b.column(n).type)
+    return arrays, keep
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_share: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """documents rows without the hit spans; a row goes if most_share of its words or more are hit.
 
     Where taking a span out brings a new window about, that goes too: nothing of the benchmark is
-    left. n_chars, if there, follows the text; other columns stay as they are.
+    left. n_chars, if there, follows the text; other columns stay as they are. Hits of all blocks of
+    the benchmark count together: the result does not depend on block_bytes.
     """
-    types = dict(docs.dtypes)
-    columns = docs.columns
-    out = docs
-    for block in blocks(benchmark, "item_id", "text"):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(block, size))
+    sc = docs.sparkSession.sparkContext
+    indexes = [sc.broadcast(Index(block, size)) for block in blocks(benchmark, "item_id", "text", block_bytes)]
+    out = _in_one_scan(docs, indexes[0], most_share) if len(indexes) == 1 else _in_rounds(docs, indexes, most_share)
+    assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+    return out
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+
+def _in_one_scan(docs: DataFrame, shared, most_share: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        index = shared.value
+        for b in batches:
+            at = b.schema.get_field_index("text")
+            found, n_words = {}, {}
+            for lo, _, data, offs in slices(b.column(at)):
+                w = Words(data, offs)
+                for r, s, e, _ in index.hits(w):
+                    found.setdefault(lo + r, []).append((s - int(w.first[r]), e - int(w.first[r])))
+                    n_words[lo + r] = int(w.first[r + 1] - w.first[r])
+            arrays, keep = rewritten(b, at, {r: merged(x) for r, x in found.items()}, n_words, most_share, index)
+            yield pa.RecordBatch.from_arrays(arrays, schema=b.schema).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _in_rounds(docs: DataFrame, indexes: list, most_share: float) -> DataFrame:
+    """Each round finds the hits of every block in the texts as they are, then takes all of them out at once.
+    Rows that a round changed are scanned again in the next, until none changes."""
+    names = {c.lower() for c in docs.columns}
+    runs_col, words_col = (next(c for k in range(len(names) + 1) if (c := f"{x}_{k}") not in names) for x in ("runs", "n_words"))
+    schema = StructType([*docs.schema.fields, StructField(runs_col, RUNS_TYPE), StructField(words_col, LongType())])
+
+    def scanned(rows: DataFrame, shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             release()
             index = shared.value
             for b in batches:
                 at = b.schema.get_field_index("text")
-                texts, keep, changed = None, np.ones(b.num_rows, bool), False
-                for lo, _, data, offs in slices(b.column(at)):
+                runs = [[(r["lo"], r["hi"]) for r in x or []] for x in b.column(b.num_columns - 2).to_pylist()]
+                n_words = np.zeros(b.num_rows, np.int64)
+                for lo, hi, data, offs in slices(b.column(at)):
                     w = Words(data, offs)
-                    runs: dict[int, list[tuple[int, int]]] = {}
+                    n_words[lo:hi] = np.diff(w.first)
+                    touched = set()
                     for r, s, e, _ in index.hits(w):
-                        runs.setdefault(r, []).append((s - int(w.first[r]), e - int(w.first[r])))
-                    for r, found in runs.items():
-                        texts = texts if texts is not None else texts_of(b.column(at)).to_pylist()
-                        found, words = merged(found), int(w.first[r + 1] - w.first[r])
-                        if sum(y - x for x, y in found) >= most_share * words:
-                            keep[lo + r] = False
-                            continue
-                        text = clean_text(data[offs[r] : offs[r + 1]].tobytes(), found)
-                        while True:
-                            one = Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-                            if not (again := merged([(s, e) for _, s, e, _ in index.hits(one)])):
-                                break
-                            text = clean_text(text, again)
-                        keep[lo + r] = bool(text.strip())
-                        texts[lo + r], changed = text.decode(), True
-                arrays = list(b.columns)
-                if changed:
-                    old = b.column(at)
-                    arrays[at] = pa.array([None if o is None else t for o, t in zip(old.to_pylist(), texts, strict=True)], old.type)
-                    if (n := b.schema.get_field_index("n_chars")) >= 0:
-                        new = [c if t == o or o is None else len(t) for c, t, o in zip(b.column(n).to_pylist(), texts, old.to_pylist(), strict=True)]
-                        arrays[n] = pa.array(new, b.column(n).type)
-                yield pa.RecordBatch.from_arrays(arrays, schema=b.schema).filter(pa.array(keep))
-
-        out = out.mapInArrow(run, docs.schema)
-    assert out.columns == columns and dict(out.dtypes) == types
+                        runs[lo + r].append((s - int(w.first[r]), e - int(w.first[r])))
+                        touched.add(lo + r)
+                    for r in touched:
+                        runs[r] = merged(runs[r])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array([[{"lo": x, "hi": y} for x, y in r] for r in runs], RUNS), pa.array(n_words)], names=b.schema.names)
+
+        return rows.mapInArrow(run, schema)
+
+    def taken_out(rows: DataFrame, judge: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                runs = b.column(b.num_columns - 2)
+                found = {r: [(y["lo"], y["hi"]) for y in x] for r, x in enumerate(runs.to_pylist()) if x}
+                n_words = dict(enumerate(b.column(b.num_columns - 1).to_pylist())) if judge else None
+                arrays, keep = rewritten(b, b.schema.get_field_index("text"), found, n_words, most_share)
+                yield pa.RecordBatch.from_arrays(arrays, names=b.schema.names).filter(pa.array(keep))
+
+        return rows.mapInArrow(run, schema)
+
+    done, todo, judge = [], docs, True
+    while True:
+        rows = todo.withColumns({runs_col: F.lit(None).cast(RUNS_TYPE), words_col: F.lit(None).cast("long")})
+        for shared in indexes:
+            rows = scanned(rows, shared)
+        rows = materialise(taken_out(rows, judge), "decontaminated")
+        changed = F.size(runs_col) > 0
+        done.append(rows.where(~changed).drop(runs_col, words_col))
+        todo, judge = rows.where(changed).drop(runs_col, words_col), False
+        if todo.isEmpty():
+            break
+    out = done[0]
+    for part in done[1:]:
+        out = out.union(part)
     return out
 
 
