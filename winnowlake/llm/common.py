@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -151,6 +153,8 @@ def claim(owner: object, clear: Callable[[], None]) -> None:
         _claimed[:] = [owner, clear]
         gc.collect()
         pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def release() -> None:

@@ -36,6 +36,10 @@ SMOOTHING = 0.05
 MEMO = 300_000
 #: Code points up to which words are summed in plain probabilities; longer ones in logarithms.
 PLAIN = 24
+#: Labelled rows that the bounds of a fit are taken from, about, and fewest rows of a language for it to have one.
+BOUND_ROWS, LEAST_ROWS = 4_000, 20
+#: Characters from which on a text is long: shorter ones get a wider bound.
+LONG = 200
 #: Words whose plain sum is under this, near the end of what a float holds, are summed in logarithms too.
 TINY = 1e-280
 
@@ -80,18 +84,18 @@ class Unigrams:
         in_bytes = log_p[bpe.bytes].mean(axis=0)
         self.log_p = np.concatenate([log_p, np.outer(np.arange(5), in_bytes)])  # slot size + k: a code point of k bytes
         self.p = np.exp(self.log_p)
-        self.memo: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(rows)))
+        self.clear()
 
     def __getstate__(self) -> dict:
         return {"langs": self.langs, "path": self.path, "log_p": self.log_p, "p": self.p}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self.memo, self.rows = {}, np.zeros((1024, len(self.langs)))
+        self.clear()
 
     def clear(self) -> None:
-        self.memo, self.rows = {}, np.zeros((1024, len(self.langs)))
+        self.memo: dict[str, int] = {}
+        self.rows, self.points = np.zeros((1024, len(self.langs))), np.zeros(1024, np.int32)
 
     def compile(self) -> None:
         bpe = model(self.path)
@@ -161,6 +165,11 @@ class Unigrams:
 
     def texts(self, texts: list[str]) -> np.ndarray:
         """Log probability of every text in every language."""
+        return self.told(texts)[0]
+
+    def told(self, texts: list[str], fits: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+        """Log probability of every text in every language; with fits, also that of its words of letters (three
+        characters of four at least) alone, and how many characters these have, with one for each word's mark."""
         claim(self, self.clear)
         split = [t.lower().split() for t in texts]
         used = set(chain.from_iterable(split))
@@ -170,7 +179,7 @@ class Unigrams:
             new = list(used)
         base = len(self.memo)
         while base + len(new) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows, self.points = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rows, self.points))
         short = [k for k, w in enumerate(new) if len(w) < 4 * PLAIN]
         for lo in range(0, len(short), 20_000):
             part = short[lo : lo + 20_000]
@@ -178,13 +187,27 @@ class Unigrams:
         for k, w in enumerate(new):
             if len(w) >= 4 * PLAIN:
                 self.rows[base + k] = self.forward([w])[0]
+        for k, w in enumerate(new):
+            self.points[base + k] = len(w) + 1 if w.isalpha() or 4 * sum(map(str.isalpha, w)) >= 3 * len(w) else 0
         self.memo.update(zip(new, range(base, base + len(new)), strict=True))
         n = np.fromiter(map(len, split), np.int64, len(split))
         at = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
-        out, some = np.zeros((len(split), len(self.langs))), np.flatnonzero(n)
-        if len(some):
-            out[some] = np.add.reduceat(self.rows[at], (np.cumsum(n) - n)[some], axis=0)
-        return out
+        some = np.flatnonzero(n)
+        first = (np.cumsum(n) - n)[some]
+
+        def summed(values: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(split), *values.shape[1:]), values.dtype)
+            if len(some):
+                out[some] = np.add.reduceat(values, first, axis=0)
+            return out
+
+        rows = self.rows[at]
+        total = summed(rows)
+        if not fits:
+            return total, None, None
+        points = self.points[at].astype(np.int64)
+        rows[points == 0] = 0.0
+        return total, summed(rows), summed(points)
 
 
 
@@ -198,15 +221,63 @@ def fit(docs: DataFrame, usable: Column, path: str | None = None, id_col: str =
     return Unigrams(piece_counts(rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), path), path)
 
 
-def _judge(u: Unigrams, texts: list[str]) -> tuple[list[str], np.ndarray]:
+def bounds(docs: DataFrame, unigrams: Unigrams, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = BOUND_ROWS, seed: int = 11) -> dict[str, tuple[float, float]]:
+    """(usual log probability a character, most that a long text stays under it) per language.
+
+    From labelled rows, best ones that the fit has not seen: their median, and twice its distance to their
+    hundredth part, so that rare clean texts stay. A language with under LEAST_ROWS rows has no bound.
+    """
+    if not unigrams.langs:
+        return {}
+    shared = docs.sparkSession.sparkContext.broadcast(unigrams)
+    rows = docs.where(usable & F.col(text_col).isNotNull() & F.col(lang_col).isin(unigrams.langs))
+    n = rows.count()
+    if n > most_rows:
+        rows = rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 20)) < int(most_rows / n * (1 << 20)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u = shared.value
+        if not hasattr(u, "table"):
+            u.compile()
+        for b in batches:
+            texts = texts_of(b.column(0))
+            for lo, hi, _, _ in slices(texts):
+                _, part, points = u.told(texts.slice(lo, hi - lo).to_pylist(), True)
+                lang = b.column(1).slice(lo, hi - lo)
+                own = part[np.arange(hi - lo), [u.langs.index(x) for x in lang.to_pylist()]]
+                yield pa.RecordBatch.from_arrays([lang, pa.array(own), pa.array(points)], names=["lang", "own", "points"])
+
+    found = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(run, "lang string, own double, points long").where("points > 0").toArrow()
+    out = {}
+    for lang in unigrams.langs:
+        part = found.filter(pa.compute.equal(found.column("lang"), lang))
+        if len(part) >= LEAST_ROWS:
+            points = part.column("points").to_numpy()
+            usual, low = np.quantile(part.column("own").to_numpy() / points, [0.5, 0.01])
+            out[lang] = float(usual), 2 * float(usual - low)
+    return out
+
+
+def _fits(u: Unigrams, best: np.ndarray, part: np.ndarray, points: np.ndarray, within: dict[str, tuple[float, float]]) -> np.ndarray:
+    """Whether texts fit their best language; those without a word of letters can't be told and do."""
+    usual, under = np.array([within.get(x, (0.0, np.inf)) for x in u.langs]).T
+    n = np.maximum(points, 1)
+    own = part[np.arange(len(best)), best] / n
+    return (points == 0) | (own >= usual[best] - under[best] * np.sqrt(np.maximum(1, LONG / n)))
+
+
+def _judge(u: Unigrams, texts: list[str], within: dict[str, tuple[float, float]] | None = None) -> tuple[list[str], np.ndarray]:
+    """Language and score of texts; `und` with score 0 too, where `within` is given, if they don't fit."""
     if not hasattr(u, "table"):
         u.compile()
     if not u.langs:
         return ["und"] * len(texts), np.zeros(len(texts))
-    total = u.texts(texts)
+    total, part, points = u.told(texts, within is not None)
     best = total.argmax(axis=1)
     score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
     letters = np.fromiter((any(map(str.isalpha, t)) for t in texts), bool, len(texts))
+    if within is not None:
+        letters &= _fits(u, best, part, points, within)
     return [u.langs[k] if ok else "und" for k, ok in zip(best.tolist(), letters.tolist(), strict=True)], np.where(letters, score, 0.0)
 
 
@@ -226,15 +297,16 @@ def predict(docs: DataFrame, unigrams: Unigrams, id_col: str = "doc_id", text_co
     return out.withColumnRenamed("id", id_col)
 
 
-def accepted(docs: DataFrame, unigrams: Unigrams, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs, as they came, whose text has a language with a score of `least` or more."""
+def accepted(docs: DataFrame, unigrams: Unigrams, least: float = 0.5, text_col: str = "text", within: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """The rows of docs, as they came, whose text has a language with a score of `least` or more, and fits
+    that language by the bounds `within`: the score only tells the learned languages from one another."""
     shared = docs.sparkSession.sparkContext.broadcast(unigrams)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = texts_of(b.column(b.schema.get_field_index(text_col)))
             for lo, hi, _, _ in slices(texts):
-                lang, score = _judge(shared.value, texts.slice(lo, hi - lo).to_pylist())
+                lang, score = _judge(shared.value, texts.slice(lo, hi - lo).to_pylist(), within)
                 yield b.slice(lo, hi - lo).filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score.tolist(), strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
