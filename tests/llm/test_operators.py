@@ -54,7 +54,7 @@ def test_lm_scoring_against_a_recursive_tree(spark, docs, empty):
     depth = 3
     rows = [r for r in docs.select("doc_id", "text").collect() if not r["text"] or len(r["text"]) < 1000]
     small = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r["doc_id"], r["n_tokens"], r["n_bytes"]): r for r in ctw.score(small, crc_mod("doc_id", 5) != 1, depth, hot_rows=50).collect()}
+    got = {(r["doc_id"], r["n_tokens"], r["n_bytes"]): r for r in ctw.score(small, crc_mod("doc_id", 5) != 1, depth, hot_bytes=50 * 42, block=200).collect()}
 
     def stream(t):
         return b" ".join((t or "").encode().lower().split()) + b"\n"

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer single text is a step of its own.
 SLICE_BYTES = 2 << 20
+#: Values that one running sum covers.
+STEP = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -31,20 +33,38 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 # ---------------------------------------------------------------- Spark side
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; where none is set (tests), a local one is chosen and set."""
+    """The folder all executors share. Where none is set, local masters (tests) get a temporary one of this
+    machine; on a cluster that is an error, as executors would each write to their own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="winnowlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors. The
+    folder goes with discard(), or when the driver's JVM ends in order."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._materialised_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the folders of materialised tables that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        if path := getattr(df, "_materialised_at", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -141,9 +161,38 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * inv[starts])
 
 
+def hashed_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = STEP) -> np.ndarray:
+    """span_hashes() of spans in ascending order of start and end, taken piece by piece: no running sum is
+    longer than `step` values, so a long text needs no eight bytes for each of its own."""
+    if len(values) <= step:
+        return span_hashes(prefix_sums(values), starts, ends)
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        hi = int(np.searchsorted(ends, base + step, "right"))
+        if hi > at:
+            out[at:hi] = span_hashes(prefix_sums(values[base : int(ends[hi - 1])]), starts[at:hi] - base, ends[at:hi] - base)
+        else:  # one span longer than a step: its sum is put together from those of pieces
+            hi, total = at + 1, 0
+            for lo in range(base, int(ends[at]), step):
+                part = prefix_sums(values[lo : min(lo + step, int(ends[at]))])
+                total += int(part[-1]) * pow(_R, lo - base, 1 << 64)
+            out[at] = mix(np.array([total & 0xFFFFFFFFFFFFFFFF], np.uint64))[0]
+        at = hi
+    return out
+
+
 _claimed: list = [None, None]
 
 
+def trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def claim(owner: object, clear: Callable[[], None]) -> None:
     """Say that owner's memory of things met is used in this worker now. Workers live on from stage to
     stage: what the owner before remembered is cleared, so that only one such memory stands."""
@@ -151,10 +200,9 @@ def claim(owner: object, clear: Callable[[], None]) -> None:
         if _claimed[1] is not None:
             _claimed[1]()
         _claimed[:] = [owner, clear]
+        pa.set_memory_pool(pa.system_memory_pool())  # the default pool keeps what it once had
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
 
 
 def release() -> None:
@@ -162,6 +210,18 @@ def release() -> None:
     claim("", lambda: None)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """An Arrow function that clears what others remember, and gives its own memory back when it ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        yield from run(batches)
+        gc.collect()
+        trim()
+
+    return wrapped
+
+
 class HashTable:
     """Open addressing in numpy: uint64 keys to values; plain arrays, so it pickles as such."""
 
@@ -170,6 +230,10 @@ class HashTable:
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
         self.keys, self.used = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, bool)
         self.values = np.zeros(1 << bits, values.dtype)
+        for lo in range(0, len(keys), 1 << 18):
+            self._insert(keys[lo : lo + (1 << 18)], values[lo : lo + (1 << 18)])
+
+    def _insert(self, keys: np.ndarray, values: np.ndarray) -> None:
         slot, todo = self._slot(keys), np.arange(len(keys))
         while len(todo):
             s = slot[todo]

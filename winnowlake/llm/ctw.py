@@ -10,11 +10,13 @@ A text is modelled as its lower-cased words, a space between two and a line feed
 bytes in front of a text count as line feeds. code length per byte = -score * log2(10) / n_bytes.
 
 Spark counts (context, byte) grams of all texts, pre-aggregated in every task; the tree is built from
-the distinct grams, dealt by their last two context bytes (grams, not occurrences: a frequent
-context is no larger than a rare one), and joined at the top on at most 256 x 256 nodes. The gram
-and word tables grow with the corpus. Only their most frequent keys, HOT_ROWS at most by a count of
-them, are broadcast; for the others each text passes on what it holds, once a key, to be joined with
-the tables and added up.
+the distinct grams (not occurrences: a frequent context is no larger than a rare one) in blocks, each
+the whole subtrees of some contexts. A context that would make a block too large is an inner one: its
+subtree is dealt by one context byte more, and its own node is put together in the driver, as are those
+of the root and of the contexts of one byte. There are MOST_BLOCKS inner contexts of a depth at most. The
+gram and word tables grow with the corpus. Only their most frequent keys, HOT_BYTES of each at most by a
+count of them, are broadcast; for the others each text passes on what it holds, once a key, to be joined
+with the tables and added up. Both ways use the same values.
 
 Defined cases: a null or empty text is the end alone, and so is one of white space; a null id counts
 as the empty text when the fold is drawn; repeated rows count each time and score alike; without any
@@ -25,7 +27,7 @@ rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +35,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashTable, crc_mod, materialise, mix, powers, prefix_sums, slices
+from .common import HashTable, crc_mod, discard, hashed_spans, lean, materialise, slices
 
 #: Context bytes.
 DEPTH = 6
-#: Most rows of the gram table, and of the word table, that are broadcast.
-HOT_ROWS = 2_000_000
+#: Most bytes that the hash table of the frequent grams, and that of the frequent words, takes in a worker.
+HOT_BYTES = 48 << 20
 #: Distinct keys that a task gathers before it passes them on.
-GATHER = 2_000_000
-#: Grams from which on the tree of a task is built in blocks; a block ends with a two-byte context.
-BLOCK = 250_000
+GATHER = 1_000_000
+#: Grams that a block of the tree holds, about; larger ones where there would be over MOST_BLOCKS of them.
+BLOCK, MOST_BLOCKS = 250_000, 1_000
+
+SLICE_BYTES = 1 << 20
 
 GRAM, WORD, END = 0, 1, 2
 _LOG2 = math.log(2)
@@ -80,8 +84,7 @@ def words(s: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarr
     prev[1:] = letter[:-1]
     lo = np.flatnonzero(letter & ~prev)
     hi = np.flatnonzero(~letter & prev)
-    sums, (_, inv) = prefix_sums(s), powers(len(s) + 1)
-    return mix((sums[hi] - sums[lo]) * inv[lo]), np.searchsorted(lo, np.append(starts, len(s)))
+    return hashed_spans(s, lo, hi), np.searchsorted(lo, np.append(starts, len(s)))
 
 
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +120,7 @@ def corpus_counts(rows: DataFrame, depth: int) -> DataFrame:
 
         for b in batches:
             train = b.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offs in slices(b.column(0)):
+            for lo, hi, data, offs in slices(b.column(0), SLICE_BYTES):
                 s, starts, stops = stream(data, offs, depth)
                 g = grams(s, starts, stops, depth)
                 fold = np.repeat(train[lo:hi], stops - starts)
@@ -135,7 +138,7 @@ def corpus_counts(rows: DataFrame, depth: int) -> DataFrame:
         if ends:
             yield pa.RecordBatch.from_arrays([pa.array([END], pa.int8()), pa.array([0], pa.int64()), pa.array([ends], pa.int64())], names=["kind", "key", "n"])
 
-    found = rows.select("text", "train").mapInArrow(run, "kind byte, key long, n long")
+    found = rows.select("text", "train").mapInArrow(lean(run), "kind byte, key long, n long")
     return found.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -217,92 +220,152 @@ def subtree(keys: np.ndarray, n: np.ndarray, depth: int, top: int = 2) -> tuple[
 
 
 class Top:
-    """Depths 0 and 1: dense, 256 x 256 nodes."""
-
-    def __init__(self, key: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray):
-        """key: context byte * 256 + node; below: summed weights of the children at depth 2."""
-        dense = [np.zeros(65536), np.zeros(65536), np.zeros(65536)]
-        for d, x in zip(dense, (n0, n1, below), strict=True):
-            d[key] = x
-        self.n = [np.stack([dense[0], dense[1]], axis=1)]
-        pe = log_kt(dense[0], dense[1])
-        weight = np.logaddexp(pe, dense[2]) - _LOG2
-        self.stop = [np.exp(pe - _LOG2 - weight)]
-        zero, one, s = (x.reshape(256, 256).sum(axis=0) for x in (dense[0], dense[1], weight))
-        pe = log_kt(zero, one)
-        self.n.append(np.stack([zero, one], axis=1))
-        self.stop.append(np.exp(pe - _LOG2 - np.logaddexp(pe, s) + _LOG2))
+    """The nodes over the blocks: of the inner contexts, which the driver puts together."""
+
+    def __init__(self, inner: list[np.ndarray], at: np.ndarray, key: np.ndarray, sums: list[np.ndarray]):
+        """inner: sorted contexts by depth; at, key: depth and context * 256 + node of the rows; sums: zeros,
+        ones and weights of what stands below them and is no inner context itself."""
+        self.inner, self.n, self.stop = inner, [], []
+        child: tuple[np.ndarray, ...] | None = None
+        for d in range(len(inner) - 1, -1, -1):
+            dense = np.zeros((3, len(inner[d]), 256))
+            rows = at == d
+            where = np.searchsorted(inner[d], key[rows] >> np.uint64(8)), (key[rows] & np.uint64(255)).astype(np.int64)
+            for x, part in zip(dense, sums, strict=True):
+                x[where] = part[rows]
+            if child is not None:
+                parent = np.searchsorted(inner[d], inner[d + 1] & _mask(d))
+                for x, part in zip(dense, child, strict=True):
+                    np.add.at(x, parent, part)
+            pe = log_kt(dense[0], dense[1])
+            weight = np.logaddexp(pe, dense[2]) - _LOG2
+            child = (dense[0], dense[1], weight)
+            self.n.insert(0, np.stack([dense[0], dense[1]], axis=-1))
+            self.stop.insert(0, np.exp(pe - _LOG2 - weight))
 
     def log_p(self, keys: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Log probability of the bytes of grams, from what depth 2 predicts for their choices."""
+        """Log probability of the bytes of grams, from what their blocks predict for their choices."""
         sym = (keys & np.uint64(255)).astype(np.int64)
-        ctx = ((keys >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
+        above = []
+        for d in range(len(self.inner) - 1, -1, -1):
+            context = keys >> np.uint64(8) & _mask(d)
+            k = np.minimum(np.searchsorted(self.inner[d], context), len(self.inner[d]) - 1)
+            above.append((self.n[d], self.stop[d], k, self.inner[d][k] == context))
         out = np.zeros(len(keys))
         for j in range(8):
             bit, z = (sym >> (7 - j)) & 1, (1 << j) | (sym >> (8 - j))
             q = p[:, j].astype(np.float64)
-            for n, stop, k in ((self.n[0], self.stop[0], ctx * 256 + z), (self.n[1], self.stop[1], z)):
-                total = n[k].sum(axis=1)
-                kt = (n[k, bit] + 0.5) / (total + 1.0)
-                q = np.where(total > 0, np.where(q < 0, kt, stop[k] * kt + (1 - stop[k]) * q), -1.0)
+            for n, stop, k, there in above:
+                total = n[k, z].sum(axis=1)
+                kt = (n[k, z, bit] + 0.5) / (total + 1.0)
+                q = np.where(there, np.where(total > 0, np.where(q < 0, kt, stop[k, z] * kt + (1 - stop[k, z]) * q), -1.0), q)
             out += np.log(np.where(q < 0, 0.5, q))
         return out
 
 
-def gram_table(counts: DataFrame, depth: int) -> DataFrame:
-    """kind, key, n, value (log probability of the byte) of every gram."""
+def _mask(d: int) -> np.uint64:
+    return np.uint64((1 << 8 * d) - 1)
+
+
+def _context(d: int) -> Column:
+    return F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * d) - 1))
+
+
+def inner_contexts(found: DataFrame, depth: int, block: int) -> list[np.ndarray]:
+    """By depth, the contexts whose subtree is no block but is put together from those of the contexts that
+    are longer by a byte: the empty one, those of one byte, and all that more than `block` grams end in. Of a
+    depth there are no more than grams / block, or 256."""
+    inner = [np.zeros(1, np.uint64), np.arange(256, dtype=np.uint64)]
+    rows = found
+    for d in range(2, depth):
+        many = rows.groupBy(_context(d).alias("c")).count().where(F.col("count") > block).select("c").toArrow().column(0).to_numpy()
+        if not len(many):
+            break
+        inner.append(np.sort(many.astype(np.uint64)))
+        rows = found.where(_among(d, inner))
+    return inner
+
+
+def _among(d: int, inner: list[np.ndarray]) -> Column:
+    return F.expr(f"(shiftrightunsigned(key, 8) & {(1 << 8 * d) - 1}L) IN ({', '.join(f'{c}L' for c in inner[d].tolist())})")
+
+
+def gram_table(counts: DataFrame, depth: int, block: int) -> tuple[DataFrame, Callable[[], None]]:
+    """(kind, key, n, value (log probability of the byte, as a float holds it) of every gram; what to call when
+    the table has been read)."""
     found = counts.where(F.col("kind") == GRAM)
-    fields = [("key", pa.int64()), ("top", pa.bool_()), ("n", pa.int64()), ("n0", pa.float64()), ("n1", pa.float64()), ("weight", pa.float64()), ("p", pa.list_(pa.float32()))]
+    inner = inner_contexts(found, depth, block)
+    cut = F.lit(len(inner))
+    for d in range(len(inner) - 1, 1, -1):
+        cut = F.when(_among(d, inner), cut).otherwise(d)
+    context = F.lit(0).cast("long")
+    for d in range(2, len(inner) + 1):
+        context = F.when(F.col("cut") == d, _context(d)).otherwise(context)
+    fields = [("key", pa.int64()), ("above", pa.int8()), ("n", pa.int64()), ("n0", pa.float64()), ("n1", pa.float64()), ("weight", pa.float64()), ("p", pa.list_(pa.float32()))]
     schema = pa.schema(fields)
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Grams in order of their two nearest context bytes, cut between those."""
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(depth of the block's contexts, grams, counts), cut between contexts."""
+        held: list[list[np.ndarray]] = []
         size = 0
         for b in batches:
-            held.append((b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()))
+            part = [b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy()]
+            held.append(part)
             size += b.num_rows
-            if size > BLOCK:
-                near = held[-1][0] >> np.uint64(8) & np.uint64(0xFFFF)
-                cut = int(np.flatnonzero(near == near[-1])[0]) if len(near) else 0
-                if cut:
-                    k, n = held.pop()
-                    yield np.concatenate([*(x for x, _ in held), k[:cut]]), np.concatenate([*(x for _, x in held), n[:cut]])
-                    held, size = [(k[cut:], n[cut:])], len(k) - cut
+            if size > block:
+                last = part[3] == part[3][-1]
+                last &= part[2] == part[2][-1]
+                at = int(np.flatnonzero(last)[0])
+                if at:
+                    held[-1] = [x[:at] for x in part]
+                    yield from parted(held)
+                    held, size = [[x[at:] for x in part]], len(part[0]) - at
         if size:
-            yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+            yield from parted(held)
+
+    def parted(held: list[list[np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        keys, n, cuts, _ = (np.concatenate(x) for x in zip(*held, strict=True))
+        for d in np.unique(cuts).tolist():
+            yield d, keys[cuts == d], n[cuts == d]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, n in blocks(batches):
-            yield from built(keys, n)
+        for d, keys, n in blocks(batches):
+            yield from built(d, keys, n)
 
-    def built(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def built(d: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(keys)
         keys, n = keys[order], n[order]
-        p, tops = subtree(keys, n, depth)
-        for lo in range(0, len(keys), 1 << 17):
-            k = keys[lo : lo + (1 << 17)].view(np.int64)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * len(k) + 1, 8, dtype=np.int32)), pa.array(p[lo : lo + (1 << 17)].ravel()))
+        p, tops = subtree(keys, n, depth, d)
+        for lo in range(0, len(keys), 1 << 16):
+            k = keys[lo : lo + (1 << 16)].view(np.int64)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * len(k) + 1, 8, dtype=np.int32)), pa.array(p[lo : lo + (1 << 16)].ravel()))
             nul = pa.nulls(len(k), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.zeros(len(k), bool)), pa.array(n[lo : lo + (1 << 17)]), nul, nul, nul, flat], schema=schema)
-        for x in tops:
-            nul = pa.nulls(len(x.key), pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([pa.array(x.key.view(np.int64)), pa.array(np.ones(len(x.key), bool)), pa.nulls(len(x.key), pa.int64()), pa.array(x.n0), pa.array(x.n1), pa.array(x.weight), nul], schema=schema)
-
-    near = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
-    dealt = found.select("key", "n").repartition(near).sortWithinPartitions(near)
-    tree = materialise(dealt.mapInArrow(run, "key long, top boolean, n long, n0 double, n1 double, weight double, p array<float>"), "ctw-tree")
-    # at most 256 x 256 rows
-    rows = tree.where("top").groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("k")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weight").alias("w")).toArrow()
-    shared = counts.sparkSession.sparkContext.broadcast(Top(*(rows.column(k).to_numpy() for k in range(4))))
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), -1, np.int8)), pa.array(n[lo : lo + (1 << 16)]), nul, nul, nul, flat], schema=schema)
+        for x in tops:  # summed up for the contexts that are shorter by a byte
+            above, at = np.unique(x.key & np.uint64(255) | x.key & ~np.uint64(255) & (_mask(d - 1) << np.uint64(8)), return_inverse=True)
+            sums = [pa.array(np.bincount(at, weights=w, minlength=len(above))) for w in (x.n0, x.n1, x.weight)]
+            nul = pa.nulls(len(above), pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([pa.array(above.view(np.int64)), pa.array(np.full(len(above), d - 1, np.int8)), pa.nulls(len(above), pa.int64()), *sums, nul], schema=schema)
+
+    dealt = found.select("key", "n", cut.cast("byte").alias("cut")).withColumn("context", context)
+    dealt = dealt.repartition("cut", "context").sortWithinPartitions("cut", "context")
+    tree = materialise(dealt.mapInArrow(lean(run), "key long, above byte, n long, n0 double, n1 double, weight double, p array<float>"), "ctw-tree")
+    # 255 rows at most for each of the inner contexts
+    rows = tree.where("above >= 0").groupBy("above", "key").agg(F.sum("n0"), F.sum("n1"), F.sum("weight")).toArrow()
+    at, key, *sums = (rows.column(k).to_numpy() for k in range(5))
+    shared = counts.sparkSession.sparkContext.broadcast(Top(inner, at, key.view(np.uint64), sums))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = b.column(2).flatten().to_numpy().reshape(-1, 8)
             log_p = shared.value.log_p(b.column(0).to_numpy().view(np.uint64), p)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), GRAM, np.int8)), b.column(0), b.column(1), pa.array(log_p)], names=["kind", "key", "n", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), GRAM, np.int8)), b.column(0), b.column(1), pa.array(log_p.astype(np.float32).astype(np.float64))], names=["kind", "key", "n", "value"])
 
-    return tree.where("not top").select("key", "n", "p").mapInArrow(finish, "kind byte, key long, n long, value double")
+    def done() -> None:
+        shared.destroy()
+        discard(tree)
+
+    return tree.where("above < 0").select("key", "n", "p").mapInArrow(lean(finish), "kind byte, key long, n long, value double"), done
 
 
 # ---------------------------------------------------------------- scoring
@@ -318,6 +381,10 @@ def _least(counts: DataFrame, kind: int, most: int) -> int:
     return 0 if least < 0 else 1 << least
 
 
+#: Bytes a hot key takes in its hash table, at most.
+SLOT_BYTES = {GRAM: 42, WORD: 55}
+
+
 class Hot:
     """Keys and values; plain arrays where it is made and sent, a hash table where it is asked."""
 
@@ -336,19 +403,22 @@ def _hot(table: DataFrame, kind: int, least: int) -> Hot:
     return Hot(got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy())
 
 
-def score(docs: DataFrame, train: Column, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
+def score(docs: DataFrame, train: Column, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text", hot_bytes: int = HOT_BYTES, block: int = BLOCK) -> DataFrame:
     """id, train, n_tokens, n_known, train_tokens, base_score, score (log10 of the text), n_bytes."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), train.alias("train"))
     counts = materialise(corpus_counts(rows, depth), "ctw-counts")
-    stats = {r["kind"]: (r["v"], r["n"]) for r in counts.groupBy("kind").agg(F.count_if(F.col("n") > 0).alias("v"), F.sum("n").alias("n")).collect()}
-    ends = stats.get(END, (0, 0))[1]
-    distinct, total = stats.get(WORD, (0, 0))
-    total, floor = total + ends, math.log10(total + ends + 0.5 * (distinct + (ends > 0) + 1))
-    table = gram_table(counts, depth)
+    stats = {r["kind"]: r for r in counts.groupBy("kind").agg(F.count("*").alias("rows"), F.count_if(F.col("n") > 0).alias("v"), F.sum("n").alias("n")).collect()}
+    value = lambda kind, name: stats[kind][name] if kind in stats else 0
+    ends, distinct = value(END, "n"), value(WORD, "v")
+    total = value(WORD, "n") + ends
+    floor = math.log10(total + 0.5 * (distinct + (ends > 0) + 1))
+    grams_, done = gram_table(counts, depth, max(block, value(GRAM, "rows") // MOST_BLOCKS))
     words_ = counts.where(F.col("kind") == WORD).select("kind", "key", "n", F.log10(F.col("n") + 0.5).alias("value"))
-    table = materialise(table.unionByName(words_), "ctw-table")
-    least = {kind: _least(table, kind, hot_rows) for kind in (GRAM, WORD)}
+    table = materialise(grams_.unionByName(words_), "ctw-table")
+    done()
+    discard(counts)
+    least = {kind: _least(table, kind, hot_bytes // SLOT_BYTES[kind]) for kind in (GRAM, WORD)}
     shared = spark.sparkContext.broadcast([_hot(table, kind, least[kind]) for kind in (GRAM, WORD)])
     kind_of_id = dict(rows.dtypes)["id"]
     names = ["rid", "id", "train", "n_tokens", "n_known", "base", "score", "n_bytes", "kind", "key", "times"]
@@ -366,7 +436,7 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH, id_col: str = "doc
         known_grams, known_words = shared.value
         rid = TaskContext.get().partitionId() << 36  # the table is written once, so a repeated task can't mix numbers
         for b in batches:
-            for lo, hi, data, offs in slices(b.column(1), 1 << 20):
+            for lo, hi, data, offs in slices(b.column(1), SLICE_BYTES):
                 n = hi - lo
                 s, starts, stops = stream(data, offs, depth)
                 size = stops - starts
@@ -389,7 +459,7 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH, id_col: str = "doc
                 yield pa.RecordBatch.from_arrays([*(c if isinstance(c, pa.Array) else pa.array(c) for c in columns), *nul], names=names)
                 rid += n
 
-    seen = materialise(rows.mapInArrow(run, schema), "ctw-scan")
+    seen = materialise(rows.mapInArrow(lean(run), schema), "ctw-scan")
     shared.destroy()  # nothing reads it again
     rest = table.where(((F.col("kind") == GRAM) & (F.col("n") < least[GRAM])) | ((F.col("kind") == WORD) & (F.col("n") < least[WORD])))
     rest = rest.select(F.col("kind").alias("k"), F.col("key").alias("c_key"), "n", "value")
