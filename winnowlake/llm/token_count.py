@@ -10,9 +10,10 @@ before. States and transitions are compiled when first met and kept by the worke
 
 A text is cut into chunks of CHUNK code points. All chunks run in lock step, vectorised: from the
 first synchronising mark on, a chunk's end state and count do not depend on how it was entered, so
-its state map is constant there; the piece before that mark is run when its entry state is known.
-The scan composes the maps in text order: first all chunks whose predecessor's map is constant, then
-those that wait for them. A text's count is the sum over its chunks.
+its state map is constant there and the next chunk's entry state is known. Chunks without such a mark
+(texts without white space) have maps from the entry states that may be live to (exit state, count);
+these are composed through a parallel prefix scan, and widened until it goes through. A text's count
+is the sum over its chunks.
 
 Defined cases: a null or empty text has no tokens; texts of any length are read whole; special
 strings inside texts are ordinary text; repeated rows give equal rows; an empty table gives no rows.
@@ -32,6 +33,8 @@ from .piece_bpe import MARK, MODEL, PieceBpe
 
 #: Code points of a chunk.
 CHUNK = 512
+#: Code points in front of a chunk that its likely entry state is taken from.
+WARM = 96
 #: States and transitions a worker keeps; beyond that it starts anew.
 MOST_STATES, TABLE_BITS = 1_500_000, 23
 
@@ -94,12 +97,16 @@ class Transducer:
         if u is None:
             return True
         if (ok := self.pairs.get((u, t))) is None:
-            ids = lambda s: self.bpe.agenda(s)
             if len(self.pairs) > 2_000_000:
                 self.pairs.clear()
-            ok = self.pairs[u, t] = ids(u + t) == ids(u) + ids(t)
+            ok = self.pairs[u, t] = self.bpe.agenda(u + t) == self.alone(u) + self.alone(t)
         return ok
 
+    def alone(self, s: str) -> list[int]:
+        """The ids of a symbol that stays one: its own, or its bytes."""
+        p = self.bpe.pieces.get(s)
+        return [p[1]] if p else [self.bpe.bytes[b] for b in s.encode()]
+
     def compile(self, state: int, cls: int) -> tuple[int, int]:
         """Next state and change of the count."""
         if cls == self.mark:
@@ -145,19 +152,19 @@ class Transducer:
             while len(todo):
                 empty = self.keys[at[todo]] == -1
                 if empty.any():
-                    for key in np.unique(keys[todo[empty]]).tolist():
-                        self.insert(key)
+                    new = np.unique(keys[todo[empty]])
+                    for key, slot in zip(new.tolist(), self.slot(new).tolist(), strict=True):
+                        self.insert(key, slot)
                     todo = todo[self.keys[at[todo]] != keys[todo]]
                     continue
                 at[todo] = (at[todo] + 1) & ((1 << TABLE_BITS) - 1)
                 todo = todo[self.keys[at[todo]] != keys[todo]]
         return self.to[at], self.add[at]
 
-    def insert(self, key: int) -> None:
+    def insert(self, key: int, at: int) -> None:
         to, add = self.compile(key >> 16, key & 65535)
-        at = int(self.slot(np.array([key]))[0])
-        while self.keys[at] != -1:
-            if self.keys[at] == key:
+        while (k := self.keys[at]) != -1:
+            if k == key:
                 return
             at = (at + 1) & ((1 << TABLE_BITS) - 1)
         self.keys[at], self.to[at], self.add[at] = key, to, add
@@ -177,6 +184,47 @@ class Transducer:
         ends[order], counts[order] = state, count
         return ends, counts
 
+    def composed(self, classes: np.ndarray, lo: np.ndarray, hi: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Changes of the count over chunks that must be entered as the chunk in front is left; `before` is
+        that state where it is known already (the first of a row of such chunks), and -1 elsewhere.
+
+        Each chunk has a map from entry states to (exit state, count) over the states that may be live there:
+        the one that WARM code points in front lead to at first. A scan composes the maps; where a chunk is left
+        in a state that the next one's map lacks, that is put in, until the scan goes through.
+        """
+        n, head = len(lo), before >= 0
+        chain = np.cumsum(head) - 1
+        begin = np.flatnonzero(head)[chain]
+        guess, _ = self.run(classes, np.maximum(lo - WARM, 0), lo, np.zeros(n, np.int64))
+        maps: list[dict[int, tuple[int, int]]] = [{} for _ in range(n)]
+        wanted = {(k, int(s)) for k, s in enumerate(np.where(head, before, guess))}
+        for again in range(n + 1):
+            at = np.array(sorted(wanted), np.int64).reshape(-1, 2)
+            ends, adds = self.run(classes, lo[at[:, 0]], hi[at[:, 0]], at[:, 1])
+            for k, s, e, c in zip(*at.T.tolist(), ends.tolist(), adds.tolist(), strict=True):
+                maps[k][s] = e, c
+            width = max(map(len, maps))
+            place = [{s: c for c, s in enumerate(m)} for m in maps]
+            nxt, cnt, state = (np.full((n, width), -1, np.int64) for _ in range(3))
+            for k, m in enumerate(maps):
+                follow = place[k + 1] if k + 1 < n and not head[k + 1] else {}
+                for c, (e, add) in enumerate(m.values()):
+                    nxt[k, c], cnt[k, c], state[k, c] = follow.get(e, -1), add, e
+            through = scanned(nxt, head)
+            entry = np.array([place[k][int(before[k])] for k in begin.tolist()], np.int64)  # of the first of its row
+            pos = np.where(head, entry, through[np.arange(n) - 1, entry])
+            if (pos >= 0).all():
+                return cnt[np.arange(n), pos]
+            # what chunks with a map are left in, and, from the second time on, what the last one that is reached
+            # is left in for all behind it: a repeated character keeps its states over any distance
+            open_ = np.flatnonzero(pos < 0)
+            wanted = {(k, e) for k in open_.tolist() for e, _ in maps[k - 1].values() if e not in maps[k]}
+            if again:
+                for k in open_[pos[open_ - 1] >= 0].tolist():
+                    e = int(state[k - 1, pos[k - 1]])
+                    wanted |= {(x, e) for x in open_[(open_ >= k) & (chain[open_] == chain[k])].tolist() if e not in maps[x]}
+        raise AssertionError("each time one chunk more is reached at least")
+
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of every text."""
         claim(self, self.release)
@@ -205,17 +253,32 @@ class Transducer:
         total = np.zeros(len(lo), np.int64)
         exits = np.full(len(lo), -1, np.int64)
         exits[const], total[const] = self.run(classes, first[const], hi[const], np.zeros(int(const.sum()), np.int64))
-        todo = np.flatnonzero(first > lo)  # never the first chunk of a text: that begins with a mark
-        while len(todo):
-            ready = exits[todo - 1] >= 0
-            now, todo = todo[ready], todo[~ready]
-            end, add = self.run(classes, lo[now], first[now], exits[now - 1])
-            total[now] += add
-            exits[now] = np.where(const[now], exits[now], end)
+        rest = np.flatnonzero(first > lo)  # never the first chunk of a text: that begins with a mark
+        known = const[rest - 1]
+        now, todo = rest[known], rest[~known]
+        end, add = self.run(classes, lo[now], first[now], exits[now - 1])
+        total[now] += add
+        exits[now] = np.where(const[now], exits[now], end)
+        if len(todo):
+            total[todo] += self.composed(classes, lo[todo], first[todo], exits[todo - 1])
         out[full] = np.bincount(text, weights=total, minlength=len(full)).astype(np.int64)
         return out
 
 
+def scanned(nxt: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Parallel prefix scan: the composition, from the first of its row (head) to each chunk, of the maps
+    nxt[chunk, entry of the chunk] = entry of the next chunk (-1: none), in as many steps as the longest row
+    has binary digits."""
+    through = nxt.copy()
+    far = np.arange(len(nxt)) - np.maximum.accumulate(np.where(head, np.arange(len(nxt)), 0))
+    step = 1
+    while (rows := np.flatnonzero(far >= step)).size:
+        first, then = through[rows - step], through[rows]
+        through[rows] = np.where(first >= 0, np.take_along_axis(then, np.maximum(first, 0), 1), -1)
+        step *= 2
+    return through
+
+
 _machines: dict[str, Transducer] = {}
 
 
