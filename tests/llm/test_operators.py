@@ -159,8 +159,14 @@ def test_sentencepiece_is_the_library(docs, empty):
         assert (list(r["ids"]), r["decoded"], r["n_tokens"]) == (ids, lib.decode(ids), len(ids))
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
     model = piece_bpe.model(tokenizer_path(piece_bpe.MODEL))
-    list(model.encode([t or "" for t in TEXTS]))
-    assert model.differed == 0  # the agenda alone gives the library's ids
+    odd = ["".join(rng.choice("ab c▁ the\né🙂-.ẞ日") for _ in range(rng.randint(1, 300))) for _ in range(200)]
+    assert list(model.encode(odd)) == lib.encode(odd)
+    right, model.library = model.library, type("Wrong", (), {"encode": staticmethod(lambda x: [[1]] * len(x))})()
+    try:  # a difference from the library is an error, never its ids in silence
+        with pytest.raises(ValueError, match="the library"):
+            model.learn(["never met before"])
+    finally:
+        model.library = right
     assert piece_bpe.encoded(empty).count() == 0
 
 

@@ -6,16 +6,20 @@ can be encoded one by one. The agenda holds the adjacent symbol pairs whose join
 score first, leftmost first among equals: a heap for long chunks, and for the many short ones arrays
 in which all chunks of a slice take the best pair of their agenda in lock step. Workers remember
 chunks; every chunk that is encoded is checked against the sentencepiece library, all new chunks of
-an Arrow slice in one call, and the library's ids count if the two ever differ.
+an Arrow slice in one call, and one whole text of WHOLE is. A difference is an error: no ids but the
+agenda's are ever returned.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; texts of any length
-are processed whole; repeated rows give equal rows; an empty table gives no rows.
+are processed whole; repeated rows give equal rows; there are no ties (of pairs with equal scores the
+leftmost is joined first, as the library does); only the id and text columns are read, so columns of
+any other name do not matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -32,7 +36,9 @@ MARK = "▁"
 #: Chunks a worker remembers, and the longest of them.
 MEMO, MEMO_CHARS = 400_000, 64
 #: Code points of chunks that are encoded in lock step, by upper bounds of their length.
-LENGTHS = (6, 9, 12, 16, 24, 32)
+LENGTHS = (6, 9, 12, 16, 24, 32, 48)
+#: One text of so many, by its checksum, is also encoded whole by the library and compared.
+WHOLE = 64
 
 _NONE = np.iinfo(np.int64).max
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -60,7 +66,7 @@ class PieceBpe:
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.memo: dict[str, tuple[int, ...]] = {}
         self.again: set[str] = set()  # of the memo, what was met in more than one slice
-        self.differed = 0
+        self.decimal = [str(i) for i in range(self.library.vocab_size())]
         self._compile()
 
     def _compile(self) -> None:
@@ -128,10 +134,20 @@ class PieceBpe:
         if (ids >= 0).all():
             flat = ids.tolist()
             return [flat[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
-        out = []
-        for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-            one = ids[x:y].tolist()
-            out.append(one if min(one, default=0) >= 0 else self.agenda(chunks[k]))  # bytes for what is no piece
+        out, points = [], points[at]
+        odd = set(np.searchsorted(cut, np.flatnonzero(ids < 0), "right").tolist())
+        flat = ids.tolist()
+        for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True), 1):
+            if k not in odd:
+                out.append(flat[x:y])
+                continue
+            one = []
+            for i, p in zip(flat[x:y], points[x:y].tolist(), strict=True):
+                if i >= 0:
+                    one.append(i)
+                else:  # what is no piece is a single code point and stands for its bytes
+                    one.extend(self.bytes[b] for b in chr(p).encode())
+            out.append(one)
         return out
 
     def agenda(self, chunk: str) -> list[int]:
@@ -178,8 +194,7 @@ class PieceBpe:
         if ids != right:
             for k, key in enumerate(new):  # the library gives the empty text no ids; an empty chunk is a lone mark
                 if key and ids[k] != right[k]:
-                    self.differed += 1
-                    ids[k] = right[k]
+                    raise ValueError(f"the agenda gives {ids[k]} for {key!r}, the library {right[k]}")
         self.memo.update(zip(new, map(tuple, ids), strict=True))
 
     @staticmethod
@@ -245,7 +260,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
             "ids": lambda ids, _: np.array(ids, np.int32),
             "decoded": lambda _, text: text,
             "n_tokens": lambda ids, _: len(ids),
-            "ids_sha256": lambda ids, _: _sha(",".join(map(str, ids))),
+            "ids_sha256": lambda ids, _: _sha(",".join(map(bpe.decimal.__getitem__, ids))),
             "decoded_sha256": lambda _, text: _sha(text),
         }
         made = [make[c] for c in columns]
@@ -253,7 +268,10 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
             texts = texts_of(b.column(1))
             for lo, hi, _, _ in slices(texts, 4 << 20):
                 out: list[list] = [[] for _ in columns]
-                for ids in bpe.encode(texts.slice(lo, hi - lo).to_pylist()):
+                part = texts.slice(lo, hi - lo).to_pylist()
+                for whole, ids in zip(part, bpe.encode(part), strict=True):
+                    if zlib.crc32(whole.encode()) % WHOLE == 0 and bpe.library.encode(whole) != ids:
+                        raise ValueError("the agenda's ids of a text are not the library's")
                     text = bpe.library.decode(ids)
                     for column, f in zip(out, made, strict=True):
                         column.append(f(ids, text))
