@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one vectorised step works on; a longer single text is a step of its own.
 SLICE_BYTES = 2 << 20
@@ -210,16 +211,27 @@ def release() -> None:
     claim("", lambda: None)
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """An Arrow function that clears what others remember, and gives its own memory back when it ends."""
+#: Spark's setting for the bytes of a batch that goes to Python, its default, and what mapped() sets in its place.
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, keeps: bool = False) -> DataFrame:
+    """df.mapInArrow(run) in batches of bounded bytes (a single longer row is a batch), where the session has
+    not set another bound. What other operators remember in a worker is cleared first, unless run claims its
+    own memory (keeps); memory that run is done with goes back to the system."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_KEY, None) == BATCH_DEFAULT:
+        conf.set(BATCH_KEY, BATCH_BYTES)
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
+        if not keeps:
+            release()
         yield from run(batches)
-        gc.collect()
+        if not keeps:
+            gc.collect()
         trim()
 
-    return wrapped
+    return df.mapInArrow(wrapped, schema)
 
 
 class HashTable:

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashTable, crc_mod, discard, hashed_spans, lean, materialise, slices
+from .common import HashTable, crc_mod, discard, hashed_spans, mapped, materialise, slices
 
 #: Context bytes.
 DEPTH = 6
@@ -138,7 +138,7 @@ def corpus_counts(rows: DataFrame, depth: int) -> DataFrame:
         if ends:
             yield pa.RecordBatch.from_arrays([pa.array([END], pa.int8()), pa.array([0], pa.int64()), pa.array([ends], pa.int64())], names=["kind", "key", "n"])
 
-    found = rows.select("text", "train").mapInArrow(lean(run), "kind byte, key long, n long")
+    found = mapped(rows.select("text", "train"), run, "kind byte, key long, n long")
     return found.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -349,7 +349,7 @@ def gram_table(counts: DataFrame, depth: int, block: int) -> tuple[DataFrame, Ca
 
     dealt = found.select("key", "n", cut.cast("byte").alias("cut")).withColumn("context", context)
     dealt = dealt.repartition("cut", "context").sortWithinPartitions("cut", "context")
-    tree = materialise(dealt.mapInArrow(lean(run), "key long, above byte, n long, n0 double, n1 double, weight double, p array<float>"), "ctw-tree")
+    tree = materialise(mapped(dealt, run, "key long, above byte, n long, n0 double, n1 double, weight double, p array<float>"), "ctw-tree")
     # 255 rows at most for each of the inner contexts
     rows = tree.where("above >= 0").groupBy("above", "key").agg(F.sum("n0"), F.sum("n1"), F.sum("weight")).toArrow()
     at, key, *sums = (rows.column(k).to_numpy() for k in range(5))
@@ -365,7 +365,7 @@ def gram_table(counts: DataFrame, depth: int, block: int) -> tuple[DataFrame, Ca
         shared.destroy()
         discard(tree)
 
-    return tree.where("above < 0").select("key", "n", "p").mapInArrow(lean(finish), "kind byte, key long, n long, value double"), done
+    return mapped(tree.where("above < 0").select("key", "n", "p"), finish, "kind byte, key long, n long, value double"), done
 
 
 # ---------------------------------------------------------------- scoring
@@ -459,7 +459,7 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH, id_col: str = "doc
                 yield pa.RecordBatch.from_arrays([*(c if isinstance(c, pa.Array) else pa.array(c) for c in columns), *nul], names=names)
                 rid += n
 
-    seen = materialise(rows.mapInArrow(lean(run), schema), "ctw-scan")
+    seen = materialise(mapped(rows, run, schema), "ctw-scan")
     shared.destroy()  # nothing reads it again
     rest = table.where(((F.col("kind") == GRAM) & (F.col("n") < least[GRAM])) | ((F.col("kind") == WORD) & (F.col("n") < least[WORD])))
     rest = rest.select(F.col("kind").alias("k"), F.col("key").alias("c_key"), "n", "value")
