@@ -1,18 +1,27 @@
 """HTML extraction by site template removal (operator 8).
 
-Every page is parsed into its element tree. A first pass hashes the element subtrees of every page;
-Spark counts on how many different pages (by what their main part says) of a host each occurs. A
-second pass deletes the subtrees that stand on many pages of the host, together with what by its tag
-or class is a menu, header, footer, sidebar, notice, advert, form, script, style or comment, and
-returns the blocks of text that are left.
-
-Inside an article (or main) element only boxes (div, section, ...) count as template: a sentence or
-heading that articles share stays. Copies of one article count as one page, so copied articles stay.
+Every page is parsed into its element tree, and the subtrees of its elements are hashed twice: exactly
+(tag, names, text), and by shape (the tags and names above it, and its own tags and names with text masked
+and equal neighbours taken as one), so that a menu is known again whatever it says. A first pass hands the
+hashes on; Spark counts on how many different pages (by what their main part says) of a host each occurs. A
+second pass deletes the subtrees whose hash stands on many pages of the host and returns the blocks of text
+that are left. Scripts, styles, forms and the like, and what by its tag or class is a menu, header, footer,
+sidebar, notice, advert or comment, go too: that covers hosts with too few pages to tell. Where templates
+told nothing on a page, its article (or main) elements are taken, if it has any.
+
+Shapes count only beside the way to the main part: from the page down, as long as one container holds half
+the words or more of what it stands in, but not into an article or main element. Inside these, boxes (div,
+section, ...) count by their exact hash: a sentence or heading that articles share stays. Copies of one
+article count as one page, so copied articles stay. A subtree is template from LEAST_PAGES different pages
+of a host on if that is SHARE of them, or from MANY_PAGES on whatever the share; hosts with fewer pages than
+LEAST_PAGES have no template.
 
 Defined cases: a null or empty html gives the empty text; unclosed, crossed and stray tags are
 repaired as far as needed for block structure; markup cut off at the end of a page is dropped; a
 null or odd url belongs to the host with the empty name; repeated rows give equal rows and count once
-for templates; white space is what str.split() splits at; an empty table gives no rows.
+for templates; a share of SHARE exactly is enough; white space is what str.split() splits at; a page is
+parsed whole, with its tree in memory; columns of any other name stay as they are, whatever they are
+called, but one called text is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, texts_of
+from .common import discard, mapped, materialise, texts_of
 
-#: A subtree is template when it stands on this share of the different pages of its host, and on
-#: this many of them.
-SHARE, LEAST_PAGES = 0.2, 5
+#: A subtree is template when it stands on this share of the different pages of its host and on this many of
+#: them, or on so many that the share does not matter.
+SHARE, LEAST_PAGES, MANY_PAGES = 0.2, 5, 1_000
 #: Most template rows that are broadcast; beyond that they are joined by host.
 BROADCAST_ROWS = 500_000
 
@@ -41,7 +50,11 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _DROP = frozenset("nav footer aside form script style noscript template iframe svg button select textarea dialog head title object canvas menu input option label fieldset noembed noframes".split())
+_SILENT = frozenset("script style noscript template head title iframe noembed noframes textarea select".split())
 _BOX = frozenset("div section aside nav header footer form ul ol table dl figure details".split())
+_MAIN = frozenset(("article", "main"))
+_HOLDS = _BOX | _MAIN | frozenset("html body center tbody thead tfoot tr td th dd fieldset".split())
+_INLINE = frozenset("b i u s em strong small big span font mark sub sup code abbr cite q tt kbd samp var ins del strike bdo bdi br wbr".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
 _MARKS = frozenset(
@@ -51,12 +64,13 @@ _MARKS = frozenset(
 
 
 class Node:
-    __slots__ = ("tag", "marks", "items", "digest")
+    __slots__ = ("tag", "marks", "items", "digest", "shape", "words", "heading")
 
     def __init__(self, tag: str, marks: frozenset[str]):
         self.tag, self.marks = tag, marks
         self.items: list[Node | str] = []
-        self.digest = 0
+        self.digest = self.shape = self.words = 0
+        self.heading = tag == "h1"
 
 
 def _marks(attrs: str) -> frozenset[str]:
@@ -114,7 +128,8 @@ def _close(stack: list[Node], tags: tuple[str, ...], scope) -> None:
 
 
 def digest(root: Node) -> None:
-    """Set the digest of every subtree: tag, marks, text with white space folded, and children."""
+    """Set of every subtree the digest (tag, marks, text with white space folded, and children), the shape (the
+    same with text masked, without inline markup, equal neighbours as one) and the number of words."""
     todo = [(root, False)]
     while todo:
         node, ready = todo.pop()
@@ -122,10 +137,51 @@ def digest(root: Node) -> None:
             todo.append((node, True))
             todo.extend((x, False) for x in node.items if isinstance(x, Node))
             continue
-        h = xxhash.xxh64(f"{node.tag} {' '.join(sorted(node.marks))}\x00".encode())
+        name = f"{node.tag} {' '.join(sorted(node.marks))}\x00".encode()
+        exact, shape, last = xxhash.xxh64(name), xxhash.xxh64(name), b""
+        silent = node.tag in _SILENT
         for x in node.items:
-            h.update(x.digest.to_bytes(8, "little") if isinstance(x, Node) else b" ".join(x.encode("utf-8", "replace").split()) + b"\x01")
-        node.digest = h.intdigest()
+            if isinstance(x, Node):
+                exact.update(x.digest.to_bytes(8, "little"))
+                part = b"\x01" if x.tag in _INLINE else x.shape.to_bytes(8, "little")
+                node.words += 0 if silent else x.words
+                node.heading |= x.heading
+            else:
+                words = x.encode("utf-8", "replace").split()
+                exact.update(b" ".join(words) + b"\x01")
+                part = b"\x01" if words else last
+                node.words += 0 if silent else len(words)
+            if part != last:
+                shape.update(part)
+                last = part
+        node.digest, node.shape = exact.intdigest(), shape.intdigest()
+
+
+def _under(path: int, node: Node) -> int:
+    """The path (a number for the tags and marks from the page down) of what stands in node."""
+    return xxhash.xxh64_intdigest(f"{path:x} {node.tag} {' '.join(sorted(node.marks))}")
+
+
+def _by_shape(path: int, node: Node) -> int:
+    return xxhash.xxh64_intdigest(f"{path:x} {node.shape:x}")
+
+
+def _shaped(node: Node) -> bool:
+    """Whether a subtree outside the main parts can be template by its shape."""
+    return node.tag in _BOX and not (node.heading and node.tag not in ("nav", "aside", "footer", "form"))
+
+
+def beside_the_way(root: Node) -> Iterator[int]:
+    """Shapes of the boxes beside the way from the page to its main part."""
+    node, path = root, 0
+    while node.tag not in _MAIN:
+        inside = [x for x in node.items if isinstance(x, Node)]
+        big = next((x for x in inside if x.tag in _HOLDS and x.words and 2 * x.words >= node.words), None)
+        if big is None:
+            return
+        path = _under(path, node)
+        yield from (_by_shape(path, x) for x in inside if x is not big and _shaped(x))
+        node = big
 
 
 def _dropped(node: Node, inside: bool) -> bool:
@@ -148,14 +204,14 @@ def mains(root: Node) -> list[Node]:
 
 
 def candidates(root: Node) -> tuple[int, set[int]]:
-    """(digest of what the main parts say, digests of the subtrees that may be template)."""
+    """(digest of what the main parts say, hashes of the subtrees that may be template)."""
     digest(root)
     parts = mains(root)
     chosen = set(map(id, parts))
     say = xxhash.xxh64(b"".join(p.digest.to_bytes(8, "little") for p in parts)).intdigest()
     holds: set[int] = set()  # what a main part stands in can't be template
 
-    out: set[int] = set()
+    out = set(beside_the_way(root))
     whole = parts == [root]
     if not whole:
         todo = [(root, ())]
@@ -175,22 +231,30 @@ def candidates(root: Node) -> tuple[int, set[int]]:
     return say, out
 
 
-def extract(root: Node, template: set[int]) -> str:
-    """The text of the main parts without template and what is no article text."""
+def extract(root: Node, template: set[int]) -> tuple[str, bool]:
+    """(the text of the page without template and what is no article text; whether templates told its main part)."""
     digest(root)
-    parts = mains(root)
-    whole = parts == [root]
+    blocks, told = _left(root, template)
+    if not told and (parts := mains(root)) != [root]:
+        blocks = [x for p in parts for x in _left(p, template, inside=True)[0]]
+    return "\n\n".join(blocks), told
+
+
+def _left(root: Node, template: set[int], inside: bool = False) -> tuple[list[str], bool]:
+    """(blocks of text left in the subtree of root; whether template outside the main parts was deleted)."""
     blocks: list[str] = []
     line: list[str] = []
+    told = False
+    without_main = not inside and mains(root) == [root]
 
     def end() -> None:
         if text := " ".join("".join(line).split()):
             blocks.append(text)
         line.clear()
 
-    todo: list = [(p, True) for p in reversed(parts)]
+    todo: list = [(root, 0, inside, True)]
     while todo:
-        x, first = todo.pop()
+        x, path, inside, first = todo.pop()
         if x is None:
             end()
         elif isinstance(x, str):
@@ -199,21 +263,27 @@ def extract(root: Node, template: set[int]) -> str:
             line.append(" " if x.tag != "wbr" else "")
         else:
             if not first:
-                eligible = x.tag in _BOX or whole and x.tag in _BLOCK
-                if _dropped(x, not whole) or eligible and x.digest in template and x.tag not in ("html", "body", "article", "main"):
+                known = x.tag not in ("html", "body", "article", "main") and (
+                    (x.tag in _BOX or without_main and x.tag in _BLOCK) and x.digest in template
+                    or not inside and _shaped(x) and _by_shape(path, x) in template
+                )
+                told |= known and not inside
+                if known or _dropped(x, inside):
                     if x.tag in _BLOCK:
                         end()
                     continue
             if x.tag in _BLOCK:
                 end()
-                todo.append((None, False))
-            todo.extend((y, False) for y in reversed(x.items))
+                todo.append((None, 0, inside, False))
+            inside = inside or x.tag in _MAIN
+            path = 0 if inside else _under(path, x)
+            todo.extend((y, path, inside, False) for y in reversed(x.items))
     end()
-    return "\n\n".join(blocks)
+    return blocks, told
 
 
-def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES) -> DataFrame:
-    """host, template (digests of its recurring subtrees; at most subtrees per page / share of them)."""
+def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES, many: int = MANY_PAGES) -> DataFrame:
+    """host, digest of its recurring subtrees; per host at most the subtrees of a page / share of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -226,35 +296,44 @@ def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES)
                     got.append(d)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(say, pa.uint64()).view(pa.int64()), pa.array(got, pa.uint64()).view(pa.int64())], names=["host", "say", "digest"])
 
-    found = pages.select("host", "html").mapInArrow(run, "host string, say long, digest long").distinct()
-    counts = found.groupBy("host", "digest").count()
+    found = mapped(pages.select("host", "html"), run, "host string, say long, digest long").distinct()
+    counts = materialise(found.groupBy("host", "digest").count().where(F.col("count") >= least), "subtree-counts")
     n = counts.where("digest = 0").select(F.col("host").alias("h"), F.col("count").alias("pages"))
-    often = counts.where(f"digest <> 0 and count >= {least}").join(n, F.col("host") == F.col("h")).where(F.col("count") >= share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list("digest").alias("template"))
+    often = counts.where("digest <> 0").join(n, F.col("host") == F.col("h")).where((F.col("count") >= share * F.col("pages")) | (F.col("count") >= many))
+    out = materialise(often.select("host", "digest"), "templates")
+    discard(counts)
+    return out
 
 
-def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = SHARE, least: int = LEAST_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The rows of pages with their main text in place of the html, as column text."""
+def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = SHARE, least: int = LEAST_PAGES, many: int = MANY_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of pages with their main text in place of the html, as column text; by_template: whether
+    templates told it."""
     host = F.regexp_extract(F.lower(F.coalesce(F.col(url_col), F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
-    keep = [c for c in pages.columns if c != html_col]
+    keep = [c for c in pages.columns if c not in (html_col, "text", "by_template")]
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(html_col).alias("html"), host.alias("host"))
-    known = materialise(templates(rows, share, least), "templates")
-    size = known.agg(F.count("*"), F.sum(F.size("template"))).first()
-    small = (size[0] or 0) + (size[1] or 0) <= broadcast_rows
-    known = known.withColumnRenamed("host", "t_host")
-    rows = rows.join(F.broadcast(known) if small else known, F.col("host") == F.col("t_host"), "left").select("row", "html", "template")
+    known = templates(rows, share, least, many)
+    shared = None
+    if known.count() <= broadcast_rows:
+        by_host: dict[str, set[int]] = {}
+        for r in known.collect():  # broadcast_rows rows at most
+            by_host.setdefault(r["host"], set()).add(r["digest"] & 0xFFFFFFFFFFFFFFFF)
+        shared = pages.sparkSession.sparkContext.broadcast(by_host)
+    else:
+        lists = known.groupBy(F.col("host").alias("t_host")).agg(F.collect_list("digest").alias("template"))
+        rows = rows.join(lists, F.col("host") == F.col("t_host"), "left").select("row", "html", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = []
+            out = []
             for text, t in zip(texts_of(b.column(1)).to_pylist(), b.column(2).to_pylist(), strict=True):
-                texts.append(extract(parse(text), {d & 0xFFFFFFFFFFFFFFFF for d in t} if t else set()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["row", "text"])
+                found = shared.value.get(t, set()) if shared is not None else {d & 0xFFFFFFFFFFFFFFFF for d in t or ()}
+                out.append(extract(parse(text), found))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.bool_())], names=["row", "text", "told"])
 
-    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, text string")
-    return out.select(*[F.col("row").getField(c).alias(c) for c in keep], F.col("text"))
+    out = mapped(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, text string, told boolean")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in keep], F.col("text"), F.col("told").alias("by_template"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     out = main_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
-    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "by_template")

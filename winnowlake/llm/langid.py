@@ -25,7 +25,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashTable, claim, crc_mod, prefix_sums, slices, span_hashes, texts_of, tokenizer_path
+from .common import HashTable, claim, crc_mod, mapped, prefix_sums, slices, span_hashes, texts_of, tokenizer_path
 from .piece_bpe import MARK, MODEL, model
 
 #: Labelled rows that a fit takes, about.
@@ -33,7 +33,9 @@ FIT_ROWS = 20_000
 #: Added to each piece's count.
 SMOOTHING = 0.05
 #: Words a worker remembers.
-MEMO = 300_000
+MEMO = 150_000
+#: Bytes of text, and new words, that one step works on.
+SLICE_BYTES, STEP = 1 << 20, 8_000
 #: Code points up to which words are summed in plain probabilities; longer ones in logarithms.
 PLAIN = 24
 #: Labelled rows that the bounds of a fit are taken from, about, and fewest rows of a language for it to have one.
@@ -63,7 +65,7 @@ def piece_counts(rows: DataFrame, path: str) -> dict[str, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], names=["lang", "piece", "n"])
 
     size = model(path).library.vocab_size()
-    found = rows.mapInArrow(run, "lang string, piece long, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
+    found = mapped(rows, run, "lang string, piece long, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
     out: dict[str, np.ndarray] = {}
     for lang in sorted(set(found.column("lang").to_pylist())):
         part = found.filter(pa.compute.equal(found.column("lang"), lang))
@@ -181,8 +183,8 @@ class Unigrams:
         while base + len(new) > len(self.rows):
             self.rows, self.points = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rows, self.points))
         short = [k for k, w in enumerate(new) if len(w) < 4 * PLAIN]
-        for lo in range(0, len(short), 20_000):
-            part = short[lo : lo + 20_000]
+        for lo in range(0, len(short), STEP):
+            part = short[lo : lo + STEP]
             self.rows[base + np.array(part)] = self.forward([new[k] for k in part])
         for k, w in enumerate(new):
             if len(w) >= 4 * PLAIN:
@@ -241,13 +243,13 @@ def bounds(docs: DataFrame, unigrams: Unigrams, usable: Column, id_col: str = "d
             u.compile()
         for b in batches:
             texts = texts_of(b.column(0))
-            for lo, hi, _, _ in slices(texts):
+            for lo, hi, _, _ in slices(texts, SLICE_BYTES):
                 _, part, points = u.told(texts.slice(lo, hi - lo).to_pylist(), True)
                 lang = b.column(1).slice(lo, hi - lo)
                 own = part[np.arange(hi - lo), [u.langs.index(x) for x in lang.to_pylist()]]
                 yield pa.RecordBatch.from_arrays([lang, pa.array(own), pa.array(points)], names=["lang", "own", "points"])
 
-    found = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(run, "lang string, own double, points long").where("points > 0").toArrow()
+    found = mapped(rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), run, "lang string, own double, points long", keeps=True).where("points > 0").toArrow()
     out = {}
     for lang in unigrams.langs:
         part = found.filter(pa.compute.equal(found.column("lang"), lang))
@@ -289,11 +291,11 @@ def predict(docs: DataFrame, unigrams: Unigrams, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = texts_of(b.column(1))
-            for lo, hi, _, _ in slices(texts):
+            for lo, hi, _, _ in slices(texts, SLICE_BYTES):
                 lang, score = _judge(shared.value, texts.slice(lo, hi - lo).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
 
-    out = rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, lang_pred string, score double")
+    out = mapped(rows, run, f"id {dict(rows.dtypes)['id']}, lang_pred string, score double", keeps=True)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -305,11 +307,11 @@ def accepted(docs: DataFrame, unigrams: Unigrams, least: float = 0.5, text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = texts_of(b.column(b.schema.get_field_index(text_col)))
-            for lo, hi, _, _ in slices(texts):
+            for lo, hi, _, _ in slices(texts, SLICE_BYTES):
                 lang, score = _judge(shared.value, texts.slice(lo, hi - lo).to_pylist(), within)
                 yield b.slice(lo, hi - lo).filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score.tolist(), strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema, keeps=True)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashTable, claim, slices, texts_of, tokenizer_path
+from .common import HashTable, claim, mapped, slices, texts_of, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Chunks a worker remembers, and the longest of them.
-MEMO, MEMO_CHARS = 400_000, 64
+MEMO, MEMO_CHARS = 250_000, 64
 #: Code points of chunks that are encoded in lock step, by upper bounds of their length.
 LENGTHS = (6, 9, 12, 16, 24, 32, 48)
 #: One text of so many, by its checksum, is also encoded whole by the library and compared.
@@ -266,7 +266,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
         made = [make[c] for c in columns]
         for b in batches:
             texts = texts_of(b.column(1))
-            for lo, hi, _, _ in slices(texts, 4 << 20):
+            for lo, hi, _, _ in slices(texts, 1 << 20):
                 out: list[list] = [[] for _ in columns]
                 part = texts.slice(lo, hi - lo).to_pylist()
                 for whole, ids in zip(part, bpe.encode(part), strict=True):
@@ -279,7 +279,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *arrays], names=["id", *columns])
 
     schema = f"id {dict(rows.dtypes)['id']}, " + ", ".join(f"{c} {types[c][0]}" for c in columns)
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return mapped(rows, run, schema, keeps=True).withColumnRenamed("id", id_col)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from .common import LOWER, SPACE, mix, prefix_sums, span_hashes
+from .common import LOWER, SPACE, hashed_spans, mix
 
 #: Hash buckets: token features in the lower half, character features in the upper.
 BITS = 18
@@ -52,7 +52,7 @@ def features(data: np.ndarray, offs: np.ndarray, chars: bool = False) -> Iterato
     n = np.diff(first)
     row = np.repeat(np.arange(n_rows), n)
     low = LOWER[data]
-    h = span_hashes(prefix_sums(low), starts, ends)
+    h = hashed_spans(low, starts, ends)
     size, kind = ends - starts, cls[starts]
     h = np.where(kind == 2, mix(np.minimum(size, 6).astype(np.uint64)), h)
     ups = np.append(0, np.cumsum(_UPPER[data]))
@@ -69,7 +69,7 @@ def features(data: np.ndarray, offs: np.ndarray, chars: bool = False) -> Iterato
     equal = np.bincount(row[two][h[two] == h[two - 1]], minlength=n_rows) * share
     at = np.arange(max(0, len(h) - 3))
     at = at[row[at] == row[at + 3]]
-    four = span_hashes(prefix_sums(h), at, at + 4) ^ mix(row[at].astype(np.uint64) + _ONE)
+    four = hashed_spans(h, at, at + 4) ^ mix(row[at].astype(np.uint64) + _ONE)
     order = np.argsort(four)
     f = four[order]
     twin = np.zeros(len(f), bool)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialise, release, slices
+from .common import crc_mod, discard, mapped, materialise, slices
 from .quality_features import BITS, SLICE_BYTES, dots, sigmoid, sparse
 
 #: Labelled rows that a fit takes, about.
@@ -40,7 +40,6 @@ def labelled(docs: DataFrame, labels: DataFrame, usable: Column, most_rows: int
     rows = rows.join(marks, F.col("id") == F.col("l_id")).select(digest.alias("d"), "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for b in batches:
             for lo, hi, data, offs in slices(b.column(2), SLICE_BYTES):
                 got = sparse(data, offs, chars)
@@ -48,7 +47,7 @@ def labelled(docs: DataFrame, labels: DataFrame, usable: Column, most_rows: int
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.astype(np.int32).tobytes() for x, _ in got], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in got], pa.binary())], names=["d", "y", "k", "v"])
 
     # bytes, one partition at a time: the driver never holds the rows twice
-    found = materialise(rows.mapInArrow(run, "d long, y int, k binary, v binary"), "labelled")
+    found = materialise(mapped(rows, run, "d long, y int, k binary, v binary"), "labelled")
     out = [(r["d"], r["y"], np.frombuffer(r["k"], np.int32), np.frombuffer(r["v"], np.float32)) for r in found.toLocalIterator()]
     out.sort(key=lambda r: (r[0], r[1], len(r[2]), float(r[3].sum(dtype=np.float64)), r[3].tobytes()))
     return [(d % 1000, y, k, v) for d, y, k, v in out]
@@ -83,13 +82,12 @@ def scored(docs: DataFrame, weights: np.ndarray, intercept: float, id_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for b in batches:
             for lo, hi, data, offs in slices(b.column(1), SLICE_BYTES):
                 p = sigmoid(dots(data, offs, shared.value) + intercept)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(p)], names=["id", "score"])
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, score double").withColumnRenamed("id", id_col)
+    return mapped(rows, run, f"id {dict(rows.dtypes)['id']}, score double").withColumnRenamed("id", id_col)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

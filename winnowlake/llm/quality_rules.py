@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, crc_mod, mix, prefix_sums, release, slices, span_hashes, spans
+from .common import SPACE, crc_mod, hashed_spans, mapped, mix, slices, spans
 from .quality_features import SLICE_BYTES, dots, sigmoid
 from .quality_ftrl import fit_ftrl, labelled
 
@@ -41,11 +41,11 @@ def base_counts(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     solid = ~SPACE[data]
     starts, ends, first = spans(solid, offs)
     n_rows, n_words = len(offs) - 1, np.diff(first)
-    h = span_hashes(prefix_sums(data), starts, ends)
+    h = hashed_spans(data, starts, ends)
     row = np.repeat(np.arange(n_rows), n_words)
     at = np.arange(max(0, len(h) - WINDOW + 1))
     at = at[row[at] == row[at + WINDOW - 1]]
-    key = span_hashes(prefix_sums(h), at, at + WINDOW) ^ mix(row[at].astype(np.uint64) + np.uint64(1))
+    key = hashed_spans(h, at, at + WINDOW) ^ mix(row[at].astype(np.uint64) + np.uint64(1))
     order = np.argsort(key)
     key = key[order]
     twin = np.zeros(len(key), bool)
@@ -127,24 +127,22 @@ def judged(docs: DataFrame, rules: Rules, keep_columns: bool = False, id_col: st
     if keep_columns:
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            release()
             for b in batches:
                 for lo, hi, data, offs in slices(b.column(b.schema.get_field_index(text_col)), SLICE_BYTES):
                     yield b.slice(lo, hi - lo).filter(pa.array(judge(data, offs)[3]))
 
-        return docs.mapInArrow(keep, docs.schema)
+        return mapped(docs, keep, docs.schema)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for b in batches:
             for lo, hi, data, offs in slices(b.column(1), SLICE_BYTES):
                 base, p, failed, kept = judge(data, offs)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *map(pa.array, base.values()), pa.array(p), pa.array(failed), pa.array(kept)], names=["id", *base, "probability", "base_failed", "kept"])
 
     schema = f"id {dict(rows.dtypes)['id']}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, probability double, base_failed boolean, kept boolean"
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return mapped(rows, run, schema).withColumnRenamed("id", id_col)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -8,8 +8,10 @@ all pairs; stars made in turn over the forests give the components. Every finger
 the radius is compared, so no link is lost, and equal texts share one fingerprint from the start.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any other; fewer words
-than a shingle make one shingle; repeated rows are equal members; a null id is a member that never
-names its component (null only if all ids of the component are); an empty table gives no rows.
+than a shingle make one shingle; a bit set in exactly half the shingles is not set; repeated rows are
+equal members; a null id is a member that never names its component (null only if all ids of the
+component are); a text is fingerprinted whole, with its words in memory; columns of any other name stay
+as they are, whatever they are called; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, raw, release
+from .common import discard, mapped, materialise, raw
 
 #: Most fingerprints in a tile.
 TILE = 8192
@@ -50,7 +52,6 @@ def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42, id_col: str = "
     kept = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for b in batches:
             data, offs = raw(b.column(1))
             whole = memoryview(data)
@@ -58,7 +59,7 @@ def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42, id_col: str = "
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(fp.view(np.int64))], names=[*kept, "fp"])
 
     types = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in kept) + ", fp long")
+    return mapped(rows, run, ", ".join(f"{c} {types[c]}" for c in kept) + ", fp long")
 
 
 # ---------------------------------------------------------------- tiles
@@ -141,7 +142,6 @@ def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     work = work.select(F.expr("ca = cb and sa = sb").alias("same"), "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         forest = Forest()
         for x in batches:
             same = x.column(0).to_pylist()
@@ -155,9 +155,10 @@ def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     before = spark.conf.get(key)
     spark.conf.set(key, "64")  # a row holds up to two tiles
     try:
-        return materialise(work.mapInArrow(run, "u long, v long"), "simhash-links")
+        return materialise(mapped(work, run, "u long, v long"), "simhash-links")
     finally:
         spark.conf.set(key, before)
+        discard(tiles)
 
 
 # ---------------------------------------------------------------- components
@@ -180,7 +181,8 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = materialise(small.select("e.u", "e.v").where("u <> v").distinct(), "stars")
+        before, edges = edges, materialise(small.select("e.u", "e.v").where("u <> v").distinct(), "stars")
+        discard(before)
         now = _state(edges)
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -210,16 +212,15 @@ def deduplicated(docs: DataFrame, radius: int = 4) -> DataFrame:
     Among rows with that id the one whose digest of id and text is smallest stays; of rows that
     agree in both, one. The texts are shuffled once, by that digest.
     """
-    digest = lambda: F.xxhash64("doc_id", "text")
-    rows = fingerprints(docs, keep_digest=True)
-    rows = _grouped(rows, radius)
+    rows = _grouped(fingerprints(docs, keep_digest=True), radius)
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("best"))
     best = best.select(F.col("best.id").alias("b_id"), F.col("best.digest").alias("b_digest"))
-    kept = docs.withColumn("__digest", digest()).join(best, (F.col("__digest") == F.col("b_digest")) & F.col("doc_id").eqNullSafe(F.col("b_id")))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
-    one = kept.groupBy("b_digest", "b_id").agg(F.min_by(F.struct(*columns), others).alias("r"))
-    return one.select(*[F.col("r").getField(c).alias(c) for c in docs.columns])
+    # one struct column: whatever the columns of docs are called, they meet no others
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("digest"))
+    kept = packed.join(best, (F.col("digest") == F.col("b_digest")) & F.col("row.doc_id").eqNullSafe(F.col("b_id")))
+    others = F.to_json(F.struct(*[F.col("row").getField(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if c != "text"]))
+    one = kept.groupBy("b_digest", "b_id").agg(F.min_by("row", others).alias("row"))
+    return one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

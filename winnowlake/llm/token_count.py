@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, slices, texts_of, tokenizer_path
+from .common import claim, mapped, slices, texts_of, tokenizer_path
 from .piece_bpe import MARK, MODEL, PieceBpe
 
 #: Code points of a chunk.
@@ -301,7 +301,7 @@ def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
                 n = m.counts(texts.slice(lo, hi - lo).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(offs)), pa.array(n)], names=["id", "n_bytes", "n_tokens"])
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, n_bytes long, n_tokens long")
+    return mapped(rows, run, f"id {dict(rows.dtypes)['id']}, n_bytes long, n_tokens long", keeps=True)
 
 
 def op9(spark, sf_dir: str, limit: int = 4096) -> DataFrame:
