@@ -11,7 +11,9 @@ about that many; all rows if there are fewer). Prediction covers every row.
 
 Defined cases: null text, or no letter: `und`, score 0; words are split at white space and
 lower-cased; code points that are no piece count as their bytes; without labelled rows all is `und`;
-repeated rows give equal rows; ties go to the language that sorts first; an empty table gives no rows.
+repeated rows give equal rows; ties go to the language that sorts first; rows with a null id are drawn for
+a fit or not as the digest of the text says; a text of any length is judged whole, with its words in memory;
+columns of any other name stay as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -219,7 +221,7 @@ def fit(docs: DataFrame, usable: Column, path: str | None = None, id_col: str =
     rows = docs.where(usable & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     n = rows.count()
     if n > most_rows:  # a draw on the digest of the id
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 20)) < int(most_rows / n * (1 << 20)))
+        rows = rows.where(F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.col(text_col))), F.lit(1 << 20)) < int(most_rows / n * (1 << 20)))
     return Unigrams(piece_counts(rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), path), path)
 
 
@@ -235,7 +237,7 @@ def bounds(docs: DataFrame, unigrams: Unigrams, usable: Column, id_col: str = "d
     rows = docs.where(usable & F.col(text_col).isNotNull() & F.col(lang_col).isin(unigrams.langs))
     n = rows.count()
     if n > most_rows:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 20)) < int(most_rows / n * (1 << 20)))
+        rows = rows.where(F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.col(text_col))), F.lit(1 << 20)) < int(most_rows / n * (1 << 20)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = shared.value

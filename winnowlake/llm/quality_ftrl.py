@@ -1,13 +1,15 @@
 """Quality classifier (operator 4): hashed word n-gram logistic regression, trained with
 follow-the-regularised-leader (proximal) updates, scored as sparse dot products.
 
-Fitting takes at most FIT_ROWS labelled rows (a seeded Bernoulli draw on the id's digest, set to give
-about that many; all rows if there are fewer); the weights are 2**BITS numbers whatever the input.
-Scoring covers every whole text in Arrow slices.
+Fitting takes at most FIT_ROWS labelled rows and FIT_BYTES of their texts (a seeded Bernoulli draw on the
+id's digest, set to give about that much; all rows if there are fewer); the weights are 2**BITS numbers
+whatever the input. Scoring covers every whole text in Arrow slices.
 
 Defined cases: a null or empty text has no features and gets the intercept's probability; a row
 without a label is scored all the same; labels that contradict each other for an id are all used;
-without labels every score is 1/2; repeated rows score alike; an empty table gives no rows.
+without labels every score is 1/2; a score that equals a threshold is over it; repeated rows score alike; a
+text of any length is scored whole, in memory of some 25 bytes for each of its own; only id and text
+are read, so columns of any other name do not matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,27 +18,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, discard, mapped, materialise, slices
 from .quality_features import BITS, SLICE_BYTES, dots, sigmoid, sparse
 
-#: Labelled rows that a fit takes, about.
-FIT_ROWS = 4000
+#: Labelled rows, and bytes of their texts, that a fit takes, about; the driver holds their features.
+FIT_ROWS, FIT_BYTES = 4000, 16 << 20
 EPOCHS = 12
 #: Of the updates: learning rate, its offset, and the two penalties.
 ALPHA, BETA, L1, L2 = 0.6, 0.01, 1e-4, 1e-3
 
 
-def labelled(docs: DataFrame, labels: DataFrame, usable: Column, most_rows: int = FIT_ROWS, chars: bool = False, seed: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+def labelled(docs: DataFrame, labels: DataFrame, usable: Column, most_rows: int = FIT_ROWS, most_bytes: int = FIT_BYTES, chars: bool = False, seed: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     """(fold 0..999, label, buckets, values) of the rows to fit on, in an order that does not depend on Spark."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("y"))
     rows = docs.where(usable & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    n = rows.select("id").join(marks, F.col("id") == F.col("l_id")).count()
+    n, size = rows.select("id", F.octet_length("text").alias("size")).join(marks, F.col("id") == F.col("l_id")).agg(F.count("*"), F.sum("size")).first()
     digest = F.xxhash64(F.lit(seed), F.col("id").cast("string"))
-    if n > most_rows:
-        rows = rows.where(F.pmod(digest, F.lit(1 << 20)) < int(most_rows / n * (1 << 20)))
+    share = min(most_rows / max(1, n), most_bytes / max(1, size or 0))
+    if share < 1:
+        rows = rows.where(F.pmod(digest, F.lit(1 << 20)) < int(share * (1 << 20)))
     rows = rows.join(marks, F.col("id") == F.col("l_id")).select(digest.alias("d"), "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +53,8 @@ def labelled(docs: DataFrame, labels: DataFrame, usable: Column, most_rows: int
     # bytes, one partition at a time: the driver never holds the rows twice
     found = materialise(mapped(rows, run, "d long, y int, k binary, v binary"), "labelled")
     out = [(r["d"], r["y"], np.frombuffer(r["k"], np.int32), np.frombuffer(r["v"], np.float32)) for r in found.toLocalIterator()]
-    out.sort(key=lambda r: (r[0], r[1], len(r[2]), float(r[3].sum(dtype=np.float64)), r[3].tobytes()))
+    discard(found)
+    out.sort(key=lambda r: (r[0], r[1], len(r[2]), xxhash.xxh64_intdigest(r[2].tobytes()), xxhash.xxh64_intdigest(r[3].tobytes())))
     return [(d % 1000, y, k, v) for d, y, k, v in out]
 
 

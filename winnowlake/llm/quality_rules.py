@@ -1,18 +1,20 @@
 """Quality rules (operator 5): counting rules, and a hashed word and character n-gram logistic
 regression trained on labelled rows, calibrated, with fixed thresholds, scored in Arrow slices.
 
-The regression is fitted on nine tenths of the labelled rows taken (FIT_ROWS at most, see
-quality_ftrl.labelled) and calibrated by Platt's method on the rest. Rules and scoring cover every
-whole text.
+The regression is fitted on nine tenths of the labelled rows taken (about FIT_ROWS and FIT_BYTES of text
+at most, see quality_ftrl.labelled) and calibrated by Platt's method on the rest. Rules and scoring
+cover every whole text.
 
 Defined cases: a null or empty text has no words and fails the base rule; lines are split at \\n only
 and compared as they stand; 5-word windows are compared by 64-bit hashes within one text; without
-labels every probability is 1/2 and passes; repeated rows give equal rows; an empty table gives no
-rows.
+labels every probability is 1/2 and passes, as a probability that equals the threshold does; repeated
+rows give equal rows; a text of any length is judged whole; columns of any other name stay as they are;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, crc_mod, hashed_spans, mapped, mix, slices, spans
+from .common import SPACE, crc_mod, hashed_spans, mapped, mix, slices, spans, trim
 from .quality_features import SLICE_BYTES, dots, sigmoid
 from .quality_ftrl import fit_ftrl, labelled
 
-#: Labelled rows that a fit takes, about.
-FIT_ROWS = 3000
+#: Labelled rows, and bytes of their texts, that a fit takes, about: character n-grams are up to two
+#: features a byte.
+FIT_ROWS, FIT_BYTES = 3000, 8 << 20
 #: A text passes whose calibrated probability is at least this.
 THRESHOLD = 0.5
 WINDOW = 5
@@ -109,8 +112,12 @@ def platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(a), float(b)) if a > 0 else (1.0, 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = FIT_ROWS) -> Rules:
-    return Rules(labelled(docs, labels, crc_mod("doc_id", 4) != 2, most_rows, chars=True, seed=5))
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = FIT_ROWS, most_bytes: int = FIT_BYTES) -> Rules:
+    try:
+        return Rules(labelled(docs, labels, crc_mod("doc_id", 4) != 2, most_rows, most_bytes, chars=True, seed=5))
+    finally:
+        gc.collect()
+        trim()
 
 
 def judged(docs: DataFrame, rules: Rules, keep_columns: bool = False, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
