@@ -88,15 +88,15 @@ def test_lm_scoring_against_a_recursive_tree(spark, docs, empty):
         return memo[ctx, j, z]
 
     def predict(s, k, j):
-        z, bit, p = s[k] >> (8 - j), s[k] >> (7 - j) & 1, None
+        z, bit, p = s[k] >> (8 - j), s[k] >> (7 - j) & 1, 0.5
         for d in range(depth, -1, -1):
             ctx = s[k - d : k]
             n = counts[ctx, j, z, 0] + counts[ctx, j, z, 1]
             if n:
                 kt = (counts[ctx, j, z, bit] + 0.5) / (n + 1)
                 stop = weight(ctx, j, z)[2]
-                p = kt if p is None else stop * kt + (1 - stop) * p
-        return 0.5 if p is None else p
+                p = stop * kt + (1 - stop) * p
+        return p
 
     tokens = Counter(w for r in rows if train(r["doc_id"], 5, 1) for w in [x.translate(LOWER) for x in words(r["text"])] + ["\n"])
     total, distinct = sum(tokens.values()), len(tokens)

@@ -3,8 +3,8 @@
 The model is a context tree over the bytes in front of a byte, up to DEPTH of them; the byte itself
 is decomposed into eight binary choices. Each node of each choice has a Krichevsky-Trofimov estimate
 from all training texts, and a node's probability is the even mixture of its own estimate and the
-product of its children's. A choice is then predicted by mixing the estimates on its path, each by
-its posterior weight; the path ends at the deepest context that training has seen.
+product of its children's. A choice is then predicted by mixing the estimates on its path, at all depths,
+each by its posterior weight; a context that training has not seen under a choice says 1/2.
 
 A text is modelled as its lower-cased words, a space between two and a line feed as its end; the
 bytes in front of a text count as line feeds. code length per byte = -score * log2(10) / n_bytes.
@@ -20,8 +20,9 @@ with the tables and added up. Both ways use the same values.
 
 Defined cases: a null or empty text is the end alone, and so is one of white space; a null id counts
 as the empty text when the fold is drawn; repeated rows count each time and score alike; without any
-training text every choice is even and base_score is that of unseen tokens; an empty table gives no
-rows.
+training text every choice is even and base_score is that of unseen tokens; a text of any length is
+scored whole, in memory of some 60 bytes for each of its own; only id and text are read, so columns
+of any other name do not matter; there are no ties; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -188,7 +189,7 @@ class Level:
         p = (n + 0.5) / (total + 1.0)
         if below is not None:
             stop = np.exp(self.pe[k] - _LOG2 - self.weight[k])
-            p = np.where(below < 0, p, stop * p + (1 - stop) * below)
+            p = stop * p + (1 - stop) * np.where(below < 0, 0.5, below)  # what has seen nothing says 1/2
         return np.where(total > 0, p, -1.0)
 
 
@@ -258,7 +259,7 @@ class Top:
             for n, stop, k, there in above:
                 total = n[k, z].sum(axis=1)
                 kt = (n[k, z, bit] + 0.5) / (total + 1.0)
-                q = np.where(there, np.where(total > 0, np.where(q < 0, kt, stop[k, z] * kt + (1 - stop[k, z]) * q), -1.0), q)
+                q = np.where(there, np.where(total > 0, stop[k, z] * kt + (1 - stop[k, z]) * np.where(q < 0, 0.5, q), -1.0), q)
             out += np.log(np.where(q < 0, 0.5, q))
         return out
 
