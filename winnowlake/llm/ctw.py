@@ -14,7 +14,7 @@ the distinct grams (not occurrences: a frequent context is no larger than a rare
 the whole subtrees of some contexts. A context that would make a block too large is an inner one: its
 subtree is dealt by one context byte more, and its own node is put together in the driver, as are those
 of the root and of the contexts of one byte. There are MOST_BLOCKS inner contexts of a depth at most. The
-gram and word tables grow with the corpus. Only their most frequent keys, HOT_BYTES of each at most by a
+gram and word tables grow with the corpus. Only their most frequent keys, as many as HOT_BYTES hold by a
 count of them, are broadcast; for the others each text passes on what it holds, once a key, to be joined
 with the tables and added up. Both ways use the same values.
 
@@ -40,10 +40,10 @@ from .common import HashTable, crc_mod, discard, hashed_spans, mapped, materiali
 
 #: Context bytes.
 DEPTH = 6
-#: Most bytes that the hash table of the frequent grams, and that of the frequent words, takes in a worker.
-HOT_BYTES = 48 << 20
+#: Most bytes that the hash table of the frequent grams takes in a worker; that of the words takes half of it.
+HOT_BYTES = 84 << 20
 #: Distinct keys that a task gathers before it passes them on.
-GATHER = 1_000_000
+GATHER = 2_000_000
 #: Grams that a block of the tree holds, about; larger ones where there would be over MOST_BLOCKS of them.
 BLOCK, MOST_BLOCKS = 250_000, 1_000
 
@@ -423,7 +423,7 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH, id_col: str = "doc
     table = materialise(grams_.unionByName(words_), "ctw-table")
     done()
     discard(counts)
-    least = {kind: _least(table, kind, hot_bytes // SLOT_BYTES[kind]) for kind in (GRAM, WORD)}
+    least = {kind: _least(table, kind, hot_bytes // (kind + 1) // SLOT_BYTES[kind]) for kind in (GRAM, WORD)}
     shared = spark.sparkContext.broadcast([_hot(table, kind, least[kind]) for kind in (GRAM, WORD)])
     kind_of_id = dict(rows.dtypes)["id"]
     names = ["rid", "id", "train", "n_tokens", "n_known", "base", "score", "n_bytes", "kind", "key", "times"]
