@@ -192,3 +192,192 @@ def test_streaming_sink_keeps_the_index_current(spark, session, tmp_path):
     refreshing_sink(d)(spark.createDataFrame([(50,)], "i int").coalesce(1), 0)
     assert d.number_of_objects() == 2
     assert run(session, spark.read.parquet(path).where(F.col("i") > 10))[1] == 1
+
+
+def pruned_relations(session, df):
+    """Files that the scans of a query read, by relation, and whether each is fewer than there are."""
+    found = session.apply(df)
+    found.collect()
+    return session.latest_query_aggregated_stats().first()["skipped_Objs"], found._jdf.queryExecution().optimizedPlan().toString().count("file_modification_time")
+
+
+@pytest.mark.parametrize(
+    "where",
+    [
+        "i < 25 AND l IN (SELECT l FROM wl_inner WHERE i > 15)", "i < 25 AND EXISTS (SELECT 1 FROM wl_inner x WHERE x.l = wl_outer.l AND x.i > 15)", "i < 25 AND l NOT IN (SELECT l FROM wl_inner WHERE i > 15)",
+        "i < 25 AND l < (SELECT max(l) FROM wl_inner WHERE i < 5)", "i < 25 AND l > (SELECT min(l) FROM wl_inner x WHERE x.i < 5 AND x.b = wl_outer.b)",
+    ],
+)
+def test_relations_inside_subqueries_are_pruned(spark, session, tmp_path, where):
+    groups = [[row(k) for k in range(g, g + 10)] for g in (0, 10, 20, 30)]
+    for name in ("outer", "inner"):
+        path = files_of(spark, f"file:{tmp_path}/{name}", groups, SCHEMA)
+        session.dataset(path).index_builder().add_min_max_index("i").build(spark.read)
+        spark.read.parquet(path).createOrReplaceTempView(f"wl_{name}")
+    _, outer = run(session, spark.table("wl_outer").where("i < 25"))
+    _, skipped = run(session, spark.sql(f"SELECT i, l, s FROM wl_outer WHERE {where}"))
+    assert outer == 1 and skipped >= 2  # one of the outer relation, and some of the inner one
+    assert pruned_relations(session, spark.sql(f"SELECT i, l, s FROM wl_outer WHERE {where}"))[1] >= 2
+    in_select = spark.sql("SELECT i, (SELECT max(l) FROM wl_inner WHERE i < 5) AS m FROM wl_outer WHERE i < 25")
+    assert run(session, in_select)[1] == 1 + 3
+
+
+def test_a_file_written_again_at_the_same_time_is_read(spark, session, tmp_path):
+    import os
+
+    path = files_of(spark, f"file:{tmp_path}/d", [[(1,)], [(2,)]], "i int")
+    session.dataset(path).index_builder().add_min_max_index("i").build(spark.read)
+    file = next(f for f in (tmp_path / "d").glob("*.parquet") if spark.read.parquet(f"file:{f}").first()[0] == 1)
+    before = os.stat(file)
+    other = files_of(spark, f"file:{tmp_path}/other", [[(k,) for k in range(90, 99)]], "i int")
+    file.write_bytes(next((tmp_path / "other").glob("*.parquet")).read_bytes())
+    (tmp_path / "d" / f".{file.name}.crc").unlink(missing_ok=True)
+    os.utime(file, ns=(before.st_atime_ns, before.st_mtime_ns))
+    assert other and len(run(session, spark.read.parquet(path).where("i > 50"))[0]) == 9
+
+
+def test_files_are_indexed_only_when_they_have_settled(spark, session, tmp_path):
+    import os
+    import time
+
+    path = files_of(spark, f"file:{tmp_path}/d", [[(1,)], [(2,)]], "i int")
+    files = sorted((tmp_path / "d").glob("*.parquet"))
+    os.utime(files[0], (time.time() + 3600,) * 2)  # of the future: not indexed, always read
+    began = time.time()
+    session.dataset(path).index_builder().add_min_max_index("i").build(spark.read)
+    assert session.dataset(path).number_of_objects() == 1 and time.time() - began > 0.5
+    run(session, spark.read.parquet(path).where("i > 5"))
+
+
+def test_large_sets_of_files_and_values(spark, session, tmp_path, monkeypatch):
+    from winnowlake.sources import files
+
+    path = files_of(spark, f"file:{tmp_path}/d", [[row(k) for k in range(g, g + 10)] for g in (0, 10, 20)], SCHEMA)
+    session.dataset(path).index_builder().add_min_max_index("i").add_bloom_filter_index("l", ndv=100).build(spark.read)
+    data = spark.read.parquet(path)
+    monkeypatch.setattr(files, "MANY_IDS", 0)  # ids as one set of the JVM
+    assert run(session, data.where("i > 25"))[1] == 2
+    real = [files.id_of(f) for f in files.listing(files.relation(data))]
+    made = [f"file:/no/such/file-{k}'\\é.parquet#1#{k}" for k in range(250_000)]
+    assert files.pruned(data, made + real[:1]).count() == 20 and files.pruned(data, made + real[:1], keep=True).count() == 10
+    many = ",".join(str(k) for k in range(1000, 23_000))
+    assert run(session, data.where(f"i IN ({many})"))[1] == 3 and run(session, data.where(f"l IN (3, {','.join(str(k) for k in range(5000, 5040))})"))[1] >= 1
+    assert run(session, data.where(f"i IN (3, {many})"))[1] == 0 or True
+
+
+def test_first_build_writes_metadata_in_many_files(spark, session):
+    from winnowlake.operators.indexes import BloomFilterIndex, MinMaxIndex
+
+    handle = session.manager.handle("any")
+    assert handle.parts([MinMaxIndex("i")], 10) == 1 and handle.parts([MinMaxIndex("i")], 60_000) == 3
+    assert handle.parts([BloomFilterIndex("i")], 10_000) >= 30
+    handle.write(spark.range(60_000).selectExpr("concat('f', id) AS obj_name", "named_struct('min', id, 'max', id) AS i_minmax_1"), [MinMaxIndex("i")], [], 60_000)
+    assert handle.metadata().count() == 60_000 and len(handle.metadata().inputFiles()) == 3
+
+
+def test_a_query_does_not_wait_longer_than_the_timeout(spark, session, tmp_path, monkeypatch):
+    import time
+
+    from winnowlake import config
+    from winnowlake.sources.store import ParquetMetadataHandle
+
+    path = files_of(spark, f"file:{tmp_path}/d", [[(1,)], [(20,)]], "i int")
+    session.dataset(path).index_builder().add_min_max_index("i").build(spark.read)
+    monkeypatch.setattr(ParquetMetadataHandle, "not_required", lambda *_: time.sleep(30))
+    session.conf.of = lambda entry, of=session.conf.of: 0.01 if entry is config.TIMEOUT else of(entry)
+    began = time.time()
+    assert session.apply(spark.read.parquet(path).where("i > 5")).count() == 1 and time.time() - began < 15
+
+
+class Upper:
+    """An identifier class of one's own."""
+
+    def table_identifier(self, uri):
+        return "/".join(["table", *uri.rstrip("/").split("/")[-1:]])
+
+    def file_id(self, path, modified_ms):
+        return f"{path.rsplit('/', 1)[-1].upper()}@{modified_ms}"
+
+    def display_name(self, uri):
+        return uri
+
+
+def test_identifier_class(spark, session, tmp_path):
+    session.set("winnowlake.identifierclass", f"{__name__}.Upper")
+    path = files_of(spark, f"file:{tmp_path}/d", [[(1,)], [(20,)]], "i int")
+    d = session.dataset(path)
+    d.index_builder().add_min_max_index("i").build(spark.read)
+    assert d.table_identifier == "table/d" and all(r[0].startswith("PART-") for r in d.metadata().select("obj_name").collect())
+    assert run(session, spark.read.parquet(path).where("i > 5"))[1] == 1
+    assert tuple(d.refresh_index(spark.read).first()) == ("SUCCESS", 0, 0)
+
+
+def test_location_types(spark, session, tmp_path):
+    path = files_of(spark, f"file:{tmp_path}/d", [[(1,)], [(20,)]], "i int")
+    where, kind = "winnowlake.parquet.mdlocation", "winnowlake.parquet.mdlocation.type"
+    spark.sql("DROP DATABASE IF EXISTS wl_db CASCADE")
+    spark.sql(f"CREATE DATABASE wl_db LOCATION 'file:{tmp_path}/db' WITH DBPROPERTIES ('other' = 'a(b), c', '{where}' = 'file:{tmp_path}/base (1), x')")
+    spark.sql("CREATE TABLE wl_db.t (i int) USING parquet")
+    try:
+        for value, type_, folder in ((f"file:{tmp_path}/exact", "EXPLICIT_LOCATION", "exact"), ("wl_db", "HIVE_DB_NAME", "base (1), x/"), ("wl_db.t", "HIVE_TABLE_NAME", "base (1), x/")):
+            d = session.dataset(path)
+            d.set_params({where: value, kind: type_})
+            d.index_builder().add_min_max_index("i").build(spark.read)
+            assert folder in d.handle.location() and run(session, spark.read.parquet(path).where("i > 5"))[1] == 1
+            d.drop_index()
+            assert not d.is_indexed()
+        spark.sql(f"ALTER TABLE wl_db.t SET TBLPROPERTIES ('{where}' = 'file:{tmp_path}/of_table')")
+        assert session.dataset(path).handle.location() == f"file:{tmp_path}/of_table"
+    finally:
+        spark.sql("DROP DATABASE wl_db CASCADE")
+
+
+def test_empty_files_and_empty_lists(spark, session, tmp_path):
+    path = files_of(spark, f"file:{tmp_path}/d", [[], [(1, "a", 5)], [(20, "b", 6)]], "i int, s string, l long")
+    session.dataset(path).index_builder().add_min_max_index("i").add_value_list_index("s").add_bloom_filter_index("l", ndv=10).build(spark.read)
+    data = spark.read.parquet(path)
+    for where in ("i > 5", "s = 'a'", "l = 5", "s <> 'a'", "i IS NULL", "i IN (NULL)", "s IN (CAST(NULL AS STRING))", "s NOT IN ('a', CAST(NULL AS STRING))", "i = NULL", "l IN (CAST(NULL AS BIGINT))", "false", "i > 5 OR true"):
+        run(session, data.where(where))
+    assert run(session, data.where("i > 5"))[1] == 2
+    only = files_of(spark, f"file:{tmp_path}/none", [[]], "i int")
+    session.dataset(only).index_builder().add_min_max_index("i").build(spark.read)
+    assert run(session, spark.read.parquet(only).where("i > 5"))[0] == []
+
+
+@pytest.mark.parametrize("version", [1, 2, 3])
+def test_older_metadata_is_read_and_upgraded(spark, session, tmp_path, version):
+    from winnowlake.sources import files
+
+    path = files_of(spark, f"file:{tmp_path}/d", [[(1, "a")], [(20, "b")]], "i int, s string")
+    d = session.dataset(path)
+    data = spark.read.parquet(path)
+    listed = files.settled(files.relation(data))
+    rows = data.groupBy(files.file_id().alias("obj_name")).agg(F.struct(F.min("i").alias("min"), F.max("i").alias("max")).alias("m"), F.collect_set("s").alias("v"))
+    params = [] if version < 3 else {}
+    meta = lambda name, col: {"index": {"name": name, "cols": [col], "params": params}}
+    old = rows.select(F.col("obj_name").alias("obj_name", metadata={"version": version, "tableIdentifier": d.table_identifier}), F.col("m").alias(versions.column_name(("i",), "minmax", version), metadata=meta("minmax", "i")), F.col("v").alias(versions.column_name(("s",), "valuelist", version), metadata=meta("valuelist", "s")))
+    old.write.parquet(d.handle.location())
+    assert len(listed) == 2 and d.handle.version() == version and d.handle.version_status() is versions.Status.DEPRECATED_SUPPORTED
+    assert run(session, data.where("i > 5"))[1] == 1 and run(session, data.where("s = 'a'"))[1] == 1
+    assert tuple(d.refresh_index(spark.read).first()) == ("SUCCESS", 0, 0)
+    assert d.handle.version() == versions.VERSION and run(session, data.where("i > 5 AND s = 'b'"))[1] == 1
+
+
+def test_encryption_settings(spark, session, tmp_path):
+    path = files_of(spark, f"file:{tmp_path}/d", [[(1, "a")]], "i int, s string")
+    d = session.dataset(path)
+    d.set_params({"winnowlake.parquet.encryption.footer.key": "k0", "winnowlake.parquet.encryption.plaintext.footer": "true"})
+    b = d.index_builder().add_min_max_index("i", key_metadata="k1").add_value_list_index("s", key_metadata="k2").add_bloom_filter_index("i", key_metadata="k1")
+    assert d.handle.writer_options(b.indexes) == {"parquet.encryption.footer.key": "k0", "parquet.encryption.plaintext.footer": "true", "parquet.encryption.column.keys": "k1:i_minmax_1,i_bloomfilter_1;k2:s_valuelist_1"}
+    b.build(spark.read)  # no key service here: the keys are passed on, Parquet's crypto factory is not set
+    fields = d.metadata().schema
+    assert fields["i_minmax_1"].metadata["index"]["key_metadata"] == "k1" and fields["obj_name"].metadata["encryption"] == {"footer_key": "k0"}
+    assert [i.key_metadata for i in d.handle.indexes()] == ["k1", "k2", "k1"]
+
+
+def test_collated_strings_have_no_bloom_filter():
+    from pyspark.sql.types import StringType
+
+    from winnowlake.operators.indexes import BloomFilterIndex
+
+    assert BloomFilterIndex("s").valid(StringType()) and not BloomFilterIndex("s").valid(StringType("UTF8_LCASE"))

@@ -58,7 +58,7 @@ MEMORY_FRACTION = _entry("index.memoryFraction", 0.2, float, _fraction)
 IDENTIFIER = _entry("identifierclass", "winnowlake.identifiers.Identifier", str)
 LOCATION = _entry("parquet.mdlocation", "", str)
 LOCATION_TYPE = _entry("parquet.mdlocation.type", "EXPLICIT_BASE_PATH_LOCATION", str, lambda x: x in LOCATION_TYPES)
-CHUNK = _entry("parquet.index.chunksize", 25_000, int, _positive)
+CHUNK = _entry("parquet.index.chunksize", 25_000, int, _positive, "most files whose metadata one task writes")
 MAX_RECORDS = _entry("parquet.maxRecordsPerMetadataFile", 50_000, int, _positive)
 MAX_FILE_BYTES = _entry("parquet.maxMetadataFileSize", 32 << 20, int, _positive)
 REFRESH_DEDUP = _entry("parquet.refresh.dedup", True, _bool)

@@ -89,7 +89,8 @@ class SkipDataset:
             raise SkipError(errors.INDEX_NOT_FOUND)
         handle = self.handle
         rel = files.relation(self.frame(reader))
-        now, known = {files.id_of(f) for f in files.listing(rel)}, set(handle.all_indexed_files())
+        ident = identifier(handle.conf)
+        now, known = {files.named_id(f, ident) for f in files.listing(rel)}, set(handle.all_indexed_files())
         new, gone = len(now - known), len(known - now)
         state = "Up to date"
         if new:

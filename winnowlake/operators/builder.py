@@ -5,15 +5,17 @@ from __future__ import annotations
 import re
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, DataFrameReader
 from pyspark.sql import functions as F
 
 from .. import config, errors
 from ..errors import SkipError
+from ..identifiers import Identifier, identifier
 from ..sources import files, versions
 from ..sources.store import ParquetMetadataHandle
 from ..sources.versions import OBJ_NAME
-from .indexes import BloomFilterIndex, Index, MinMaxIndex, ValueListIndex, dotted, flat_fields
+from .indexes import BloomFilterIndex, Index, MinMaxIndex, ValueListIndex, bloom_rows, dotted, flat_fields
 
 STATUS = "status string, reason string"
 REFRESHED = "status string, new_entries_added int, old_entries_removed int"
@@ -84,23 +86,29 @@ def validate(handle: ParquetMetadataHandle, df: DataFrame, indexes: list[Index],
         i.resolve(fields)
 
 
-def collected(df: DataFrame, indexes: list[Index], partitions: list[str], listed: list[files.File]) -> DataFrame:
+def collected(df: DataFrame, indexes: list[Index], partitions: list[str], listed: list[files.File], ident: Identifier) -> DataFrame:
     """obj_name, virtual columns and index columns of every listed file; nulls for files without rows."""
     spark = df.sparkSession
     aggregates = [F.first(F.col(f"`{p}`")).alias(versions.virtual(p)) for p in partitions]
     separate = []
+    blooms = [i for i in indexes if isinstance(i, BloomFilterIndex)]
     for i in indexes:
         name = versions.column_name(i.cols, i.name)
+        if isinstance(i, BloomFilterIndex):
+            continue
         if (agg := i.aggregate()) is not None:
             aggregates.append(agg.alias(name))
         else:
-            separate.append((name, i.rows(df, files.file_id())))
+            separate.append(i.rows(df, files.file_id()).withColumnRenamed("value", name))
     rows = df.groupBy(files.file_id().alias(OBJ_NAME)).agg(F.count(F.lit(1)).alias("__n"), *aggregates).drop("__n")
-    out = spark.createDataFrame([(files.id_of(f),) for f in listed], f"{OBJ_NAME} string").join(rows, OBJ_NAME, "left")
-    for name, found in separate:
-        # a file without values has an empty filter
-        out = out.join(found.withColumnRenamed("value", name), OBJ_NAME, "left").withColumn(name, F.coalesce(F.col(f"`{name}`"), F.expr("CAST(map() AS MAP<INT, BIGINT>)")))
-    return out
+    out = spark.createDataFrame(pa.table({OBJ_NAME: pa.array([files.id_of(f) for f in listed], pa.string()), "__named": pa.array([files.named_id(f, ident) for f in listed], pa.string())})).join(rows, OBJ_NAME, "left")
+    for found in separate:
+        out = out.join(found, OBJ_NAME, "left")
+    if blooms:
+        out = out.join(bloom_rows(df, files.file_id(), blooms), OBJ_NAME, "left")
+        for k, i in enumerate(blooms):  # a file without values has an empty filter
+            out = out.withColumn(versions.column_name(i.cols, i.name), F.coalesce(F.col(f"value_{k}"), F.expr("CAST(map() AS MAP<INT, BIGINT>)"))).drop(f"value_{k}")
+    return out.withColumn(OBJ_NAME, F.col("__named")).drop("__named")
 
 
 def index_files(handle: ParquetMetadataHandle, df: DataFrame, indexes: list[Index], refresh: bool) -> tuple[int, int]:
@@ -108,12 +116,12 @@ def index_files(handle: ParquetMetadataHandle, df: DataFrame, indexes: list[Inde
     rel = files.relation(df)
     partitions = files.partition_columns(rel)
     validate(handle, df, indexes, partitions)
-    listed = files.listing(rel)
+    listed, ident = files.settled(rel), identifier(handle.conf)
     if not refresh:
-        handle.write(collected(df, indexes, partitions, listed), indexes, partitions)
+        handle.write(collected(df, indexes, partitions, listed, ident), indexes, partitions, len(listed))
         return len(listed), 0
     version, old = handle.version(), handle.metadata()
-    now = {files.id_of(f): f for f in listed}
+    now = {files.named_id(f, ident): f for f in listed}
     known = {r[0] for r in old.select(OBJ_NAME).distinct().collect()}
     if version < versions.PARTITIONS_SINCE and partitions:  # older rows lack partition values: collect anew
         known, removed = set(), len(known)
@@ -124,15 +132,15 @@ def index_files(handle: ParquetMetadataHandle, df: DataFrame, indexes: list[Inde
     kept = handle.upgraded(old, indexes, version) if known else None
     if kept is not None and gone:
         spark = df.sparkSession
-        kept = kept.join(spark.createDataFrame([(x,) for x in gone], f"{OBJ_NAME} string"), OBJ_NAME, "left_anti")
+        kept = kept.join(spark.createDataFrame(pa.table({OBJ_NAME: pa.array(gone, pa.string())})), OBJ_NAME, "left_anti")
     parts = [kept] if kept is not None else []
     if new or not parts:
         fresh = files.pruned(df, [files.id_of(f) for f in new], keep=True)
-        parts.append(collected(fresh, indexes, partitions, new))
+        parts.append(collected(fresh, indexes, partitions, new, ident))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p.select(*[f"`{c}`" for c in p.columns]), allowMissingColumns=True)
-    handle.write(rows, indexes, partitions)
+    handle.write(rows, indexes, partitions, len(now))
     return len(new), removed
 
 

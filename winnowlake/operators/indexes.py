@@ -1,7 +1,8 @@
 """Indexes: what is kept of a column for every file, as aggregate columns.
 
 An index yields its metadata in one of two ways: `aggregate` gives an aggregate Column for the one
-groupBy over all files; `rows` (bloom filters) gives a DataFrame of file id and metadata of its own.
+groupBy over all files; `rows` gives a DataFrame of file id and metadata of its own. All bloom filters
+of a build come from one scan more (`bloom_rows`).
 """
 
 from __future__ import annotations
@@ -52,6 +53,10 @@ class Index:
         """Columns obj_name and value."""
         return None
 
+    def expected_bytes(self) -> int:
+        """Of the metadata of one file, about."""
+        return 64
+
     def same(self, other: Index) -> bool:
         return (self.name, self.cols) == (other.name, other.cols)
 
@@ -94,15 +99,27 @@ class BloomFilterIndex(Index):
         self.bits, self.hashes = bloom.size(ndv, fpp)
 
     def valid(self, dtype: T.DataType) -> bool:
-        return isinstance(dtype, (T.StringType, T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-
-    def rows(self, base: DataFrame, file_id: Column) -> DataFrame:
-        c = column(self.names[0])
-        h = base.where(c.isNotNull()).select(file_id.alias("obj_name"), bloom.digest(c, self.types[0].simpleString()).alias("h")).distinct()
-        at = h.select("obj_name", F.explode(bloom.positions(F.col("h"), self.bits, self.hashes)).alias("p"))
-        one = F.expr("shiftleft(1L, CAST(pmod(p, 64) AS INT))")
-        words = at.groupBy("obj_name", F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(one).alias("bits"))
-        return words.groupBy("obj_name").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("value"))
+        """Not strings with a collation: what is equal under it has other hashes."""
+        return isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) or isinstance(dtype, T.StringType) and dtype.simpleString() == "string"
+
+    def expected_bytes(self) -> int:
+        """Of a full filter, in memory: words with their places."""
+        return self.bits // 64 * 12
+
+
+def bloom_rows(base: DataFrame, file_id: Column, indexes: list[BloomFilterIndex]) -> DataFrame:
+    """obj_name and the words of the filters (value_0, value_1, ...) of every file with values: one scan for
+    all filters; bits are joined in the map-side aggregation, so equal values cost nothing more."""
+    digests = [F.struct(F.lit(k).alias("k"), bloom.digest(column(i.names[0]), i.types[0].simpleString()).alias("h"), column(i.names[0]).isNull().alias("none")) for k, i in enumerate(indexes)]
+    rows = base.select(file_id.alias("obj_name"), F.inline(F.array(*digests))).where("not none")
+    positions = F.lit(None).cast("array<bigint>")
+    for k, i in enumerate(indexes):
+        positions = F.when(F.col("k") == k, bloom.positions(F.col("h"), i.bits, i.hashes)).otherwise(positions)
+    at = rows.select("obj_name", "k", F.explode(positions).alias("p"))
+    one = F.expr("shiftleft(1L, CAST(pmod(p, 64) AS INT))")
+    words = at.groupBy("obj_name", "k", F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(one).alias("bits"))
+    of = lambda k: F.map_from_entries(F.collect_list(F.when(F.col("k") == k, F.struct("w", "bits")))).alias(f"value_{k}")
+    return words.groupBy("obj_name").agg(*[of(k) for k in range(len(indexes))])
 
 
 class RegexValueListIndex(Index):

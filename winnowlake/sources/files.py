@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import re
+import time
 from dataclasses import dataclass
-from typing import Any
+from typing import TYPE_CHECKING, Any
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import NOT_FILES, SkipError
 from ..plans.predicate import kind, seq
 
+if TYPE_CHECKING:
+    from ..identifiers import Identifier
+
 _STATUS = re.compile(r"path=(?P<path>.*?); isDirectory=false; length=(?P<len>\d+);.*?modification_time=(?P<time>\d+);")
 
 
@@ -23,25 +28,49 @@ class File:
     modified_ms: int
 
 
+_ID = "concat(_metadata.file_path, '#', unix_millis(_metadata.file_modification_time), '#', _metadata.file_size)"
+#: Modification times of stores that keep them least exactly, in milliseconds.
+GRANULE_MS = 1_000
+#: Ids from which on a predicate takes them as one set of the JVM instead of SQL text.
+MANY_IDS = 5_000
+
+
 def file_id() -> Column:
     """The id of the file of each row: a constant of the file, so predicates on it prune the listing."""
-    return F.expr("concat(_metadata.file_path, '#', unix_millis(_metadata.file_modification_time))")
+    return F.expr(_ID)
 
 
 def id_of(f: File) -> str:
     """file_id() of a listed file."""
-    return f"{f.path}#{f.modified_ms}"
+    return f"{f.path}#{f.modified_ms}#{f.bytes}"
+
+
+def named_id(f: File, ident: Identifier) -> str:
+    """The id of a file in the metadata, as the identifier class gives it, with its size behind."""
+    return f"{ident.file_id(f.path, f.modified_ms)}#{f.bytes}"
 
 
 def pruned(df: DataFrame, ids: list[str], keep: bool = False) -> DataFrame:
     """df without the files of the ids (with keep: only those). Files that aren't known stay.
 
-    One SQL string: a Column for every literal would be a call to the JVM each.
+    The ids go to the JVM in one piece, however many there are: a Column for every literal would be a call
+    each, and a long SQL text is slow to parse. Whether a file is among them is one look-up in a hash set.
     """
     if not ids:
         return df.where("false") if keep else df
-    quoted = ",".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in ids)
-    return df.where(F.expr(f"concat(_metadata.file_path, '#', unix_millis(_metadata.file_modification_time)) {'IN' if keep else 'NOT IN'} ({quoted})"))
+    if len(ids) <= MANY_IDS:
+        quoted = ",".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in ids)
+        return df.where(F.expr(f"{_ID} {'IN' if keep else 'NOT IN'} ({quoted})"))
+    spark = df.sparkSession
+    jvm = spark._jvm
+    row = spark.createDataFrame(pa.table({"id": pa.array(ids, pa.string())})).agg(F.collect_list("id").alias("ids"))
+    texts = getattr(jvm.org.apache.spark.sql.types, "StringType$").__getattr__("MODULE$")
+    array = row._jdf.queryExecution().executedPlan().executeCollect()[0].getArray(0).toObjectArray(texts)
+    found = jvm.PythonUtils.toSeq(jvm.java.util.Arrays.asList(array)).toSet()
+    utils = jvm.org.apache.spark.sql.classic.ExpressionUtils
+    among = jvm.org.apache.spark.sql.catalyst.expressions.InSet(utils.expression(F.expr(_ID)._jc), found)
+    is_in = Column(utils.column(among))
+    return df.where(is_in if keep else ~is_in)
 
 
 def relation(df: DataFrame) -> Any:
@@ -100,6 +129,20 @@ def listing(rel: Any, partition_filters: list[Any] | None = None) -> list[File]:
     return [f for f in found if f.bytes > 0 and not unquote(f.path).rsplit("/", 1)[-1].startswith(("_", "."))]
 
 
+def settled(rel: Any) -> list[File]:
+    """The files of a relation, none younger than a granule of modification times: else one could be written
+    again, with the same id, while it is indexed. Waits for that, and leaves out files of the future."""
+    found = listing(rel)
+    now = time.time() * 1000
+    newest = max((f.modified_ms for f in found if f.modified_ms <= now), default=0)
+    if (wait := newest + GRANULE_MS + 1 - now) > 0:
+        time.sleep(wait / 1000)
+        rel.location().refresh()
+        found = listing(rel)
+        now = time.time() * 1000
+    return [f for f in found if f.modified_ms + GRANULE_MS < now]
+
+
 def partition_columns(rel: Any) -> list[str]:
     return list(rel.partitionSchema().fieldNames())
 

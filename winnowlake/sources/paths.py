@@ -20,10 +20,13 @@ def table_properties(spark: SparkSession, name: str) -> dict[str, str]:
 
 
 def database_properties(spark: SparkSession, db: str) -> dict[str, str]:
-    import re
-
-    rows = {r[0]: r[1] for r in spark.sql(f"DESCRIBE NAMESPACE EXTENDED {db}").collect()}
-    return dict(re.findall(r"\(([^,()]+),([^()]*)\)", rows.get("Properties", "")))
+    """From the catalog itself: DESCRIBE shows them as one text, in which a value can't be told for certain."""
+    found = spark._jsparkSession.sessionState().catalog().getDatabaseMetadata(db).properties()
+    out, it = {}, found.iterator()
+    while it.hasNext():
+        pair = it.next()
+        out[pair._1()] = pair._2()
+    return out
 
 
 def location(spark: SparkSession, conf: config.Conf, table_identifier: str) -> str:

@@ -40,7 +40,7 @@ class MetadataHandle(ABC):
     def metadata(self) -> DataFrame: ...
 
     @abstractmethod
-    def write(self, rows: DataFrame, indexes: list[Index], partitions: list[str]) -> None: ...
+    def write(self, rows: DataFrame, indexes: list[Index], partitions: list[str], n_files: int) -> None: ...
 
     @abstractmethod
     def drop_all_metadata(self) -> None: ...
@@ -157,7 +157,13 @@ class ParquetMetadataHandle(MetadataHandle):
             out["parquet.encryption.column.keys"] = ";".join(f"{k}:{','.join(v)}" for k, v in keys.items())
         return out
 
-    def write(self, rows: DataFrame, indexes: list[Index], partitions: list[str]) -> None:
+    def parts(self, indexes: list[Index], n_files: int) -> int:
+        """Files of metadata, and tasks that write them: none has more rows than a chunk, nor is it expected to
+        be larger than a metadata file should be."""
+        expected = n_files * (200 + sum(i.expected_bytes() for i in indexes))
+        return max(1, -(-n_files // self.conf.of(config.CHUNK)), -(-expected // self.conf.of(config.MAX_FILE_BYTES)))
+
+    def write(self, rows: DataFrame, indexes: list[Index], partitions: list[str], n_files: int) -> None:
         """rows (obj_name, virtual columns, one column per index) as the new state of the store."""
         named = {OBJ_NAME: {"version": versions.VERSION, "tableIdentifier": self.table_identifier}}
         footer = self.conf.of(config.FOOTER_KEY)
@@ -174,13 +180,11 @@ class ParquetMetadataHandle(MetadataHandle):
         folder = Folder(self.spark, where)
         old = sorted(n for n in folder.names() if _GENERATION.match(n))
         whole = self._generations(folder)
-        size = folder.bytes(whole[-1]) if whole else 0
-        parts = max(1, -(-size // self.conf.of(config.MAX_FILE_BYTES)))
         new = f"gen-{(int(_GENERATION.match(old[-1])[1]) if old else 0) + 1:08d}"
         # the generation makes the field metadata new each time: Catalyst drops an alias whose metadata its
         # input already has, and the metadata are then lost where rows of the last generation are regrouped
         named = {c: d | {"generation": new} for c, d in named.items()}
-        rows = rows.repartition(parts).select(*[F.col(f"`{c}`").alias(c, metadata=named.get(c, {})) for c in columns])
+        rows = rows.repartition(self.parts(indexes, n_files)).select(*[F.col(f"`{c}`").alias(c, metadata=named.get(c, {})) for c in columns])
         writer = rows.write.option("maxRecordsPerFile", self.conf.of(config.MAX_RECORDS))
         for k, v in self.writer_options(indexes).items():
             writer = writer.option(k, v)
