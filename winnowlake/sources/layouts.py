@@ -21,6 +21,9 @@ def scratch(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):  # executors would each write to their own disk
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file:" + tempfile.mkdtemp(prefix="winnowlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/skip-{app}"
