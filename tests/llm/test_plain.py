@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -172,9 +173,7 @@ def test_verdict_of_quality_rules_by_loops():
 def test_sharding_order_by_a_sort(spark):
     rows = [(k, text(k % 9), rng.choice(["hot"] * 6 + ["a", None])) for k in range(400)] + [(None, "x", "a"), (None, "x", "a"), (5, "again", "hot"), (5, "again", "hot")]
     got = sharding.stratified_shards(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5), 7)
-    import zlib
-
-    keyed = [(src, hashlib.md5(f"7:{'' if i is None else i}".encode()).hexdigest(), i is not None, i or 0, zlib.crc32(t.encode()), len(t.encode()) + 16) for i, t, src in rows]
+    keyed = [(src, hashlib.md5(f"7:{f'null:{zlib.crc32(t.encode())}' if i is None else i}".encode()).hexdigest(), i is not None, i or 0, zlib.crc32(t.encode()), len(t.encode()) + 16) for i, t, src in rows]
     by_source = defaultdict(list)
     for r in keyed:
         by_source[r[0]].append(r)

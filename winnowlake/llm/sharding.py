@@ -6,11 +6,14 @@ into equal runs gives shards whose row counts differ by one at most and which al
 of the whole.
 
 No window sees a whole source: ranks are local to (source, digest bucket) and to buckets of the
-fractional rank, and bucket counts, summed up beforehand, give the offsets.
+fractional rank (one for CELL_ROWS rows, LEAST_CELLS at least), and bucket counts, summed up beforehand,
+give the offsets. Groups of equal texts are not kept together nor apart: the law is on counts of rows,
+and each copy is a row like any other.
 
 Defined cases: a null source is a source of its own; a null text has no bytes and CRC 0; a null id
-shuffles as the empty text; rows with the same id are ordered by text CRC and size, and what then
-still ties is equal in all that is returned; an empty table gives an empty result.
+shuffles by the CRC of its text; rows with the same id are ordered by text CRC and size, and what then
+still ties is equal in all that is returned; texts are read by two functions of the engine, whatever
+their length; columns of any other name do not matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from .common import materialise
 
 #: Digest buckets of a source: three hexadecimal digits.
 DIGITS = 3
-#: Buckets of the fractional rank.
-RANK_BUCKETS = 4096
+#: Buckets of the fractional rank: fewest, and rows of each, about.
+LEAST_CELLS, CELL_ROWS = 4096, 250_000
 
 
 def stratified_shards(docs: DataFrame, shards: int = 40, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -34,7 +37,7 @@ def stratified_shards(docs: DataFrame, shards: int = 40, seed: int = 7, id_col:
         F.col(source_col).alias("src"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("crc"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("dig"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.crc32(text.cast("binary")).cast("string")))).cast("binary")).alias("dig"),
     ).withColumn("bkt", F.substring("dig", 1, DIGITS))
     by_source = Window.partitionBy("src")
     counts = rows.groupBy("src", "bkt").count()
@@ -48,8 +51,9 @@ def stratified_shards(docs: DataFrame, shards: int = 40, seed: int = 7, id_col:
     ranked = rows.withColumn("local", local).join(counts, F.col("src").eqNullSafe(F.col("c_src")) & (F.col("bkt") == F.col("c_bkt")))
     frac = (2 * (F.col("before") + F.col("local") - 1) + 1).cast("double") / (2 * F.col("n_src")).cast("double")
     ranked = ranked.select("id", "src", "size", "crc", "dig", frac.alias("frac"))
-    ranked = materialise(ranked.withColumn("cell", F.floor(F.col("frac") * RANK_BUCKETS).cast("int")), "shard-ranks")
-    # RANK_BUCKETS rows at most, whatever the input
+    n_cells = max(LEAST_CELLS, docs.count() // CELL_ROWS)
+    ranked = materialise(ranked.withColumn("cell", F.floor(F.col("frac") * n_cells).cast("int")), "shard-ranks")
+    # n_cells rows at most
     cells = ranked.groupBy("cell").count()
     cells = cells.select(
         F.col("cell").alias("c_cell"),

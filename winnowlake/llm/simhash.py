@@ -28,6 +28,8 @@ from .common import discard, mapped, materialise, raw
 
 #: Most fingerprints in a tile.
 TILE = 8192
+#: Keys that hold more than one row in so many are joined by broadcast.
+HOT_KEYS = 1000
 #: Rows and columns of one exclusive-or block.
 BLOCK = (256, 4096)
 
@@ -177,8 +179,8 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     seen = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("members")).select("u", F.least("u", "m").alias("m"), "members")
+        large = _joined(both.where("v > u"), least, "u", 2 * (seen[0] if seen else edges.count())).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         before, edges = edges, materialise(small.select("e.u", "e.v").where("u <> v").distinct(), "stars")
@@ -198,12 +200,21 @@ def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4, seed: int =
 def _grouped(rows: DataFrame, radius: int) -> DataFrame:
     """rows (id, fp, ...) with root and component."""
     rows = materialise(rows, "fingerprints")
-    fps = materialise(rows.groupBy("fp").agg(F.min("id").alias("least_id")), "distinct-fingerprints")
+    fps = materialise(rows.groupBy("fp").agg(F.min("id").alias("least_id"), F.count("*").alias("copies")), "distinct-fingerprints")
     roots = components(links(fps.select("fp"), radius))
-    fps = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    named = fps.groupBy("root").agg(F.min("least_id").alias("component"))
-    fps = fps.join(named, "root").select(F.col("fp").alias("k"), "root", "component")
-    return rows.join(fps, F.col("fp") == F.col("k")).drop("k")
+    rooted = materialise(fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", "copies", F.coalesce("root", "fp").alias("root")), "rooted-fingerprints")
+    named = rooted.groupBy("root").agg(F.min("least_id").alias("component"), F.count("*").alias("members"))
+    n = rooted.agg(F.count("*"), F.sum("copies")).first()
+    fps = _joined(rooted, named, "root", n[0]).select("fp", "root", "component", F.col("copies").alias("members"))
+    return _joined(rows, fps, "fp", n[1] or 0)
+
+
+def _joined(rows: DataFrame, found: DataFrame, key: str, n: int) -> DataFrame:
+    """The n rows with the columns of found, which has one row a key and how many rows have it (members). Keys
+    of over n / HOT_KEYS rows, HOT_KEYS at most, are broadcast: no group is gathered in one task."""
+    hot, cold = found.where(F.col("members") * HOT_KEYS > n).drop("members"), found.where(F.col("members") * HOT_KEYS <= n).drop("members")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
 
 
 def deduplicated(docs: DataFrame, radius: int = 4) -> DataFrame:
