@@ -35,7 +35,7 @@ FIT_ROWS = 20_000
 #: Added to each piece's count.
 SMOOTHING = 0.05
 #: Words a worker remembers.
-MEMO = 150_000
+MEMO = 300_000
 #: Bytes of text, and new words, that one step works on.
 SLICE_BYTES, STEP = 1 << 20, 8_000
 #: Code points up to which words are summed in plain probabilities; longer ones in logarithms.
@@ -98,6 +98,10 @@ class Unigrams:
         self.clear()
 
     def clear(self) -> None:
+        self.begin()
+        self.older: tuple = (self.memo, self.rows, self.points)
+
+    def begin(self) -> None:
         self.memo: dict[str, int] = {}
         self.rows, self.points = np.zeros((1024, len(self.langs))), np.zeros(1024, np.int32)
 
@@ -177,13 +181,20 @@ class Unigrams:
         claim(self, self.clear)
         split = [t.lower().split() for t in texts]
         used = set(chain.from_iterable(split))
-        new = list(used.difference(self.memo))
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = list(used)
+        if len(self.memo) > MEMO // 2:  # begins anew; what is met again moves over, the rest goes the next time
+            self.older = (self.memo, self.rows, self.points)
+            self.begin()
+        new = used.difference(self.memo)
+        known = list(new.intersection(self.older[0]))
+        new = list(new.difference(known))
         base = len(self.memo)
-        while base + len(new) > len(self.rows):
+        while base + len(known) + len(new) > len(self.rows):
             self.rows, self.points = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rows, self.points))
+        if known:
+            at = [self.older[0][w] for w in known]
+            self.rows[base : base + len(known)], self.points[base : base + len(known)] = self.older[1][at], self.older[2][at]
+            self.memo.update(zip(known, range(base, base + len(known)), strict=True))
+            base += len(known)
         short = [k for k, w in enumerate(new) if len(w) < 4 * PLAIN]
         for lo in range(0, len(short), STEP):
             part = short[lo : lo + STEP]

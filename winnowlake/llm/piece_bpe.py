@@ -34,7 +34,7 @@ from .common import HashTable, claim, mapped, slices, texts_of, tokenizer_path
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Chunks a worker remembers, and the longest of them.
-MEMO, MEMO_CHARS = 250_000, 64
+MEMO, MEMO_CHARS = 400_000, 64
 #: Code points of chunks that are encoded in lock step, by upper bounds of their length.
 LENGTHS = (6, 9, 12, 16, 24, 32, 48)
 #: One text of so many, by its checksum, is also encoded whole by the library and compared.
@@ -65,7 +65,7 @@ class PieceBpe:
             raise ValueError("a piece crosses a word mark")
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.memo: dict[str, tuple[int, ...]] = {}
-        self.again: set[str] = set()  # of the memo, what was met in more than one slice
+        self.older: dict[str, tuple[int, ...]] = {}  # what the memo held before it began anew
         self.decimal = [str(i) for i in range(self.library.vocab_size())]
         self._compile()
 
@@ -209,22 +209,21 @@ class PieceBpe:
         return [k if k.startswith(MARK * 2) else k[1:] for k in found]
 
     def clear(self) -> None:
-        self.memo, self.again = {}, set()
+        self.memo, self.older = {}, {}
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """The ids of every text."""
         claim(self, self.clear)
         split = [self.keys(t) for t in texts]
         used = set(chain.from_iterable(split))
-        memo = self.memo
+        if len(self.memo) > MEMO // 2:  # begins anew; what is met again moves over, the rest goes the next time
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
         new = used.difference(memo)
-        if len(memo) + len(new) > MEMO:  # what came once only goes, or all
-            keep = {k: memo[k] for k in self.again} if len(self.again) + len(new) < MEMO // 2 else {}
-            memo.clear()
-            memo.update(keep)
-            self.again &= memo.keys()
-            new = used.difference(memo)
-        self.again |= used - new
+        if older:
+            known = new.intersection(older)
+            memo.update((k, older[k]) for k in known)
+            new -= known
         self.learn(list(new))
         get = memo.__getitem__
         for keys in split:
@@ -266,7 +265,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
         made = [make[c] for c in columns]
         for b in batches:
             texts = texts_of(b.column(1))
-            for lo, hi, _, _ in slices(texts, 1 << 20):
+            for lo, hi, _, _ in slices(texts, 2 << 20):
                 out: list[list] = [[] for _ in columns]
                 part = texts.slice(lo, hi - lo).to_pylist()
                 for whole, ids in zip(part, bpe.encode(part), strict=True):
