@@ -381,3 +381,40 @@ def test_collated_strings_have_no_bloom_filter():
     from winnowlake.operators.indexes import BloomFilterIndex
 
     assert BloomFilterIndex("s").valid(StringType()) and not BloomFilterIndex("s").valid(StringType("UTF8_LCASE"))
+
+
+def even_index(d):
+    """A factory for an index kind of no use but to be found by its name."""
+
+
+class Translators:
+    def __call__(self, clause, lookup):
+        return None
+
+
+def test_registration_by_name_and_of_stores(spark, session, tmp_path):
+    from winnowlake.registry import Registry
+    from winnowlake.sources.store import MetadataStoreManager
+
+    class Other(MetadataStoreManager):
+        kind = "other"
+
+    registry = Registry()
+    for _ in range(2):
+        registry.add_index_factory(f"{__name__}.even_index")
+        registry.add_clause_translator(f"{__name__}.Translators")
+        registry.add_metadata_filter_factory("winnowlake.registry.regex_filter_factory")
+    assert [len(x) for x in (registry.index_factories, registry.translators, registry.filter_factories)] == [2, 2, 2]
+    registry.add_metadata_store("other", Other)
+    s = SkipSession(spark, registry).enable()
+    s.set("winnowlake.parquet.mdlocation", f"file:{tmp_path}/metadata")
+    assert type(s.manager) is MetadataStoreManager
+    s.set("winnowlake.metadatastore", "other")
+    assert type(s.manager) is Other and s.manager is s.manager
+    path = f"file:{tmp_path}/d"
+    spark.createDataFrame([(k, k % 2) for k in range(20)], "i int, p int").coalesce(1).write.partitionBy("p").parquet(path)
+    d = s.dataset(path)
+    d.index_builder().add_min_max_index("i").build(spark.read)
+    assert len(d.handle.all_indexed_files()) == 2 and len(d.handle.all_indexed_files("virtual_p = 1")) == 1
+    assert run(s, spark.read.parquet(path).where("i > 50"))[1] == 2
+    assert d.describe_index(spark.read).where("`Data Skipping Index Stats` = 'Metadata property'").count() >= 4

@@ -56,6 +56,7 @@ IN_THRESHOLD = _entry("index.minmax.inFilterThreshold", 10, int, _positive, "val
 TIMEOUT = _entry("timeout", 10, int, _positive, "minutes that the metadata query may take")
 MEMORY_FRACTION = _entry("index.memoryFraction", 0.2, float, _fraction)
 IDENTIFIER = _entry("identifierclass", "winnowlake.identifiers.Identifier", str)
+STORE = _entry("metadatastore", "parquet", str, doc="name of the store, as registered")
 LOCATION = _entry("parquet.mdlocation", "", str)
 LOCATION_TYPE = _entry("parquet.mdlocation.type", "EXPLICIT_BASE_PATH_LOCATION", str, lambda x: x in LOCATION_TYPES)
 CHUNK = _entry("parquet.index.chunksize", 25_000, int, _positive, "most files whose metadata one task writes")

@@ -21,7 +21,6 @@ class SkipDataset:
     def __init__(self, session: Any, uri: str):
         self.session, self.spark, self.uri = session, session.spark, uri
         self.is_path = "/" in uri
-        self.manager = session.manager
         ident = identifier(session.conf)
         self.table_identifier = ident.table_identifier(uri) if self.is_path else self._table_name()
 
@@ -32,6 +31,10 @@ class SkipDataset:
         db = parts[0] if len(parts) == 2 else self.spark.catalog.currentDatabase()
         return f"{db}.{parts[-1]}"
 
+    @property
+    def manager(self):
+        return self.session.manager
+
     @property
     def handle(self):
         return self.manager.handle(self.table_identifier)
@@ -94,12 +97,13 @@ class SkipDataset:
         new, gone = len(now - known), len(known - now)
         state = "Up to date"
         if new:
-            state = f"Out of date ({100.0 * new / max(1, len(now)):.2f} % of the objects are new)"
+            state = f"Out of date ({new} of {len(now)} objects are new, {100.0 * new / max(1, len(now)):.2f} %)"
         elif gone:
             state = f"Out of date ({gone} obsolete objects)"
         if handle.version_status() is not Status.CURRENT:
             state += f"; metadata version is {handle.version_status().value}"
         rows = [(self.uri, "", ""), ("Status", state, ""), ("Number of objects indexed", str(len(known)), ""), ("Metadata version", str(handle.version()), ""), ("Metadata location", handle.location(), "")]
+        rows += [("Metadata property", f"{k}={v}", "") for k, v in sorted(handle.properties().items())]
         rows += [("Index type", "Columns", "Params")]
         rows += [(i.name, ",".join(i.cols), ",".join(f"{k}={v}" for k, v in sorted(i.params.items()))) for i in handle.indexes()]
         return self.spark.createDataFrame(rows, "`Data Skipping Index Stats` string, value string, comment string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 from typing import Any
 
@@ -33,8 +34,22 @@ def base_filter_factory(index: Index, conf: Conf) -> MetadataFilter | None:
     return None
 
 
+def named(x: Any) -> Any:
+    """What a dotted name stands for; a class without arguments is made, anything else is taken as it is."""
+    if isinstance(x, str):
+        module, _, name = x.rpartition(".")
+        x = getattr(importlib.import_module(module), name)
+    return x
+
+
+def _function(x: Any) -> Any:
+    x = named(x)
+    return x() if isinstance(x, type) else x
+
+
 class Registry:
-    """Index factories and translators are put in front, filter factories behind; each once."""
+    """Index factories and translators are put in front, filter factories behind; each once. Functions, classes
+    whose objects are called, or the dotted names of either. Stores are classes like MetadataStoreManager."""
 
     def __init__(self) -> None:
         self.reset()
@@ -43,16 +58,39 @@ class Registry:
         self.index_factories: list[IndexFactory] = [base_index_factory]
         self.filter_factories: list[FilterFactory] = [base_filter_factory]
         self.translators: list[Translator] = [base_translator]
-
-    def add_index_factory(self, f: IndexFactory) -> None:
+        self.stores: dict[str, Any] = {}
+        self._names: set[str] = set()
+
+    def _new(self, f: Any, what: str) -> bool:
+        """Whether a dotted name is registered for the first time."""
+        if not isinstance(f, str):
+            return True
+        known = f"{what} {f}" in self._names
+        self._names.add(f"{what} {f}")
+        return not known
+
+    def add_metadata_store(self, name: str, store: Any) -> None:
+        """A store to be named by the setting `winnowlake.metadatastore`."""
+        self.stores[name] = named(store)
+
+    def add_index_factory(self, f: IndexFactory | str) -> None:
+        if not self._new(f, "index"):
+            return
+        f = _function(f)
         if f not in self.index_factories:
             self.index_factories.insert(0, f)
 
-    def add_clause_translator(self, f: Translator) -> None:
+    def add_clause_translator(self, f: Translator | str) -> None:
+        if not self._new(f, "translator"):
+            return
+        f = _function(f)
         if f not in self.translators:
             self.translators.insert(0, f)
 
-    def add_metadata_filter_factory(self, f: FilterFactory) -> None:
+    def add_metadata_filter_factory(self, f: FilterFactory | str) -> None:
+        if not self._new(f, "filter"):
+            return
+        f = _function(f)
         if f not in self.filter_factories:
             self.filter_factories.append(f)
 

@@ -48,8 +48,10 @@ class MetadataHandle(ABC):
     @abstractmethod
     def not_required(self, clause: Column) -> list[str]: ...
 
-    def all_indexed_files(self) -> list[str]:
-        return [r[0] for r in self.metadata().select(OBJ_NAME).distinct().collect()]
+    def all_indexed_files(self, where: Column | str | None = None) -> list[str]:
+        """Ids of the indexed files; `where`: a predicate on the metadata, as of the virtual partition columns."""
+        rows = self.metadata() if where is None else self.metadata().where(where)
+        return [r[0] for r in rows.select(OBJ_NAME).distinct().collect()]
 
     def number_of_indexed_objects(self) -> int:
         return self.metadata().select(OBJ_NAME).distinct().count()
@@ -124,6 +126,12 @@ class ParquetMetadataHandle(MetadataHandle):
     def version(self) -> int:
         return self._load()[2]
 
+    def properties(self) -> dict[str, str]:
+        """What the metadata say of themselves, and the settings that shape them."""
+        schema = self.metadata().schema
+        found = {k: str(v) for k, v in schema[OBJ_NAME].metadata.items() if k in ("tableIdentifier", "generation", "encryption")}
+        return found | {"files": str(len(self.metadata().inputFiles())), config.LOCATION_TYPE.key: self.conf.of(config.LOCATION_TYPE)}
+
     def version_status(self) -> Status:
         return versions.status(self.version())
 
