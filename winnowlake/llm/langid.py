@@ -35,7 +35,7 @@ FIT_ROWS = 20_000
 #: Added to each piece's count.
 SMOOTHING = 0.05
 #: Words a worker remembers.
-MEMO = 300_000
+MEMO = 200_000
 #: Bytes of text, and new words, that one step works on.
 SLICE_BYTES, STEP = 1 << 20, 8_000
 #: Code points up to which words are summed in plain probabilities; longer ones in logarithms.

@@ -34,7 +34,7 @@ from .common import HashTable, claim, mapped, slices, texts_of, tokenizer_path
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Chunks a worker remembers, and the longest of them.
-MEMO, MEMO_CHARS = 400_000, 64
+MEMO, MEMO_CHARS = 300_000, 64
 #: Code points of chunks that are encoded in lock step, by upper bounds of their length.
 LENGTHS = (6, 9, 12, 16, 24, 32, 48)
 #: One text of so many, by its checksum, is also encoded whole by the library and compared.
@@ -265,7 +265,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
         made = [make[c] for c in columns]
         for b in batches:
             texts = texts_of(b.column(1))
-            for lo, hi, _, _ in slices(texts, 2 << 20):
+            for lo, hi, _, _ in slices(texts, 1 << 20):
                 out: list[list] = [[] for _ in columns]
                 part = texts.slice(lo, hi - lo).to_pylist()
                 for whole, ids in zip(part, bpe.encode(part), strict=True):

@@ -28,7 +28,7 @@ _UPPER[0x41:0x5B] = 1
 _EDGES = np.array([1e-9, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9])
 _ONE = np.uint64(1)
 #: Bytes of text that one step works on, and positions of character n-grams taken at once.
-SLICE_BYTES, STEP = 1 << 20, 1 << 18
+SLICE_BYTES, STEP = 1 << 19, 1 << 17
 
 
 def _bucket(h: np.ndarray, salt: int) -> np.ndarray:
