@@ -41,9 +41,11 @@ from .common import HashTable, crc_mod, discard, hashed_spans, mapped, materiali
 #: Context bytes.
 DEPTH = 6
 #: Most bytes that the hash table of the frequent grams takes in a worker; that of the words takes half of it.
-HOT_BYTES = 84 << 20
+HOT_BYTES = 64 << 20
 #: Distinct keys that a task gathers before it passes them on.
-GATHER = 2_000_000
+GATHER = 1_000_000
+#: Rows of a batch that goes back to Spark, which holds it outside its heap.
+ROWS = 1 << 16
 #: Grams that a block of the tree holds, about; larger ones where there would be over MOST_BLOCKS of them.
 BLOCK, MOST_BLOCKS = 250_000, 1_000
 
@@ -119,9 +121,9 @@ def corpus_counts(rows: DataFrame, depth: int) -> DataFrame:
                 parts[kind] = [_merged(parts[kind])]
                 if len(parts[kind][0][0]) > least // 2:
                     keys, n = parts[kind].pop()
-                    for lo in range(0, len(keys), 1 << 20):
-                        k = keys[lo : lo + (1 << 20)]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k.view(np.int64)), pa.array(n[lo : lo + (1 << 20)].astype(np.int64))], names=["kind", "key", "n"])
+                    for lo in range(0, len(keys), ROWS):
+                        k = keys[lo : lo + ROWS]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k.view(np.int64)), pa.array(n[lo : lo + ROWS].astype(np.int64))], names=["kind", "key", "n"])
 
         for b in batches:
             train = b.column(1).to_numpy(zero_copy_only=False)
@@ -429,13 +431,15 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH, id_col: str = "doc
     names = ["rid", "id", "train", "n_tokens", "n_known", "base", "score", "n_bytes", "kind", "key", "times"]
     schema = f"rid long, id {kind_of_id}, train boolean, n_tokens long, n_known long, base double, score double, n_bytes long, kind byte, key long, times long"
 
-    def cold(row: np.ndarray, key: np.ndarray, kind: int, rid: int, id_type: pa.DataType) -> pa.RecordBatch:
+    def cold(row: np.ndarray, key: np.ndarray, kind: int, rid: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((key, row))
         row, key = row[order], key[order]
         at = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (key[1:] != key[:-1]))[: len(row)])
         times = np.diff(np.append(at, len(row)))
-        nul = [pa.nulls(len(at), t) for t in (id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(row[at] + rid), *nul, pa.array(np.full(len(at), kind, np.int8)), pa.array(key[at].view(np.int64)), pa.array(times)], names=names)
+        for lo in range(0, len(at), ROWS):
+            a, t = at[lo : lo + ROWS], times[lo : lo + ROWS]
+            nul = [pa.nulls(len(a), x) for x in (id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(row[a] + rid), *nul, pa.array(np.full(len(a), kind, np.int8)), pa.array(key[a].view(np.int64)), pa.array(t)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_grams, known_words = shared.value
@@ -450,14 +454,14 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH, id_col: str = "doc
                     found, log_p = known_grams.find(g)
                     total_log += np.bincount(own, weights=log_p, minlength=n)
                     if not found.all():
-                        yield cold(own[~found], g[~found], GRAM, rid, b.schema.field(0).type)
+                        yield from cold(own[~found], g[~found], GRAM, rid, b.schema.field(0).type)
                 w, first = words(s, starts, stops)
                 found, seen = known_words.find(w)
                 own = np.repeat(np.arange(n), np.diff(first))
                 base = np.bincount(own, weights=np.where(found, np.log10(seen + 0.5) - floor, 0.0), minlength=n)
                 n_known = np.bincount(own, weights=found & (seen > 0), minlength=n).astype(np.int64)
                 if not found.all():
-                    yield cold(own[~found], w[~found], WORD, rid, b.schema.field(0).type)
+                    yield from cold(own[~found], w[~found], WORD, rid, b.schema.field(0).type)
                 part = b.slice(lo, n)
                 columns = [np.arange(n) + rid, part.column(0), part.column(2), np.diff(first) + 1, n_known + int(ends > 0), base + math.log10(ends + 0.5) - floor, total_log, size]
                 nul = [pa.nulls(n, t) for t in (pa.int8(), pa.int64(), pa.int64())]
