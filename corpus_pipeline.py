@@ -19,7 +19,8 @@ from winnowlake.llm.common import discard, materialise, table
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows go whose text has no letter, whose language is not told with a score of 1/2 or more, or that
-    fit no learned language; how well texts fit theirs is taken from labelled rows out of the fit."""
+    fit no learned language. All labelled rows count: two folds of three are learned from, and how well
+    texts fit their language is taken from the third."""
     unigrams = langid.fit(docs, ~langid.held_out())
     return langid.accepted(docs, unigrams, within=langid.bounds(docs, unigrams, langid.held_out()))
 

@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import random
+import zlib
+from collections import defaultdict
 
 import corpus_pipeline
+import numpy as np
+import pytest
+
+from winnowlake.llm import langid
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +53,38 @@ def test_language_id_rejects_what_fits_no_learned_language(spark):
     assert {r["doc_id"] for r in kept.collect()} == {*range(600), 1000, 1001, 1002}
     no_label = docs.where("doc_id >= 2000")  # nothing is learned: nothing is told
     assert corpus_pipeline.language_id(spark, no_label, SF).count() == 0
+
+
+def test_language_id_learns_from_all_labelled_rows(spark, monkeypatch):
+    words = {"en": "the quick brown fox jumps over lazy dog".split(), "de": "der schnelle braune Fuchs springt über den faulen Hund".split(), "cy": "mae hen wlad fy nhadau yn annwyl i mi".split()}
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(words[x]) for _ in range(rng.randint(1, 6))), x) for k in range(45_000) for x in ["cy" if k % 500 == 0 else "de" if k % 3 else "en"]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    seen = {}
+    monkeypatch.setattr(langid, "accepted", lambda docs, u, within: seen.update(u=u, within=within) or docs)
+    corpus_pipeline.language_id(spark, docs, SF)
+    u, within = seen["u"], seen["within"]
+
+    counts, held = {x: np.zeros(u.p.shape[0] - 5) for x in words}, defaultdict(list)
+    for k, text, x in rows:
+        if zlib.crc32(str(k).encode()) % 3 == 1:
+            held[x].append(text)
+        else:
+            np.add.at(counts[x], langid.model(u.path).library.encode(text.lower()), 1)
+    assert u.langs == ["cy", "de", "en"] and (u.log_p == langid.Unigrams({x: counts[x] for x in u.langs}, u.path).log_p).all()
+    langid._judge(u, ["warm"])
+    assert set(within) == set(words) and len(held["cy"]) < 60
+    for x, texts in held.items():
+        _, part, points = u.told(texts, True)
+        usual, low = np.quantile(part[:, u.langs.index(x)] / points, [0.5, 0.01])
+        assert within[x] == pytest.approx((usual, 2 * (usual - low)), rel=1e-12, abs=1e-12)
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(5)
+    values = {"one": [-3.25], "two": [-1.0, -2.0], "same": [-4.0] * 500, "many": (-2 - rng.random(3000) / 9).tolist(), "copies": [-7.5] * 700 + rng.normal(-3, 1, 301).tolist()}
+    rows = spark.createDataFrame([(x, v) for x, vs in values.items() for v in vs], "lang string, value double").repartition(5)
+    found = langid.quantiles(rows, [0.5, 0.01, 0.0, 1.0])
+    assert {x: n for x, (n, _) in found.items()} == {x: len(vs) for x, vs in values.items()}
+    assert all(found[x][1] == np.quantile(vs, [0.5, 0.01, 0.0, 1.0]).tolist() for x, vs in values.items())
+    assert langid.quantiles(rows.limit(0), [0.5]) == {}

@@ -6,8 +6,9 @@ pieces, by a forward pass over its code points; a text's is the product over its
 cross a word's end, so that equals the sum over all segmentations of the text. Workers remember words.
 All new words of an Arrow slice go through the forward pass together.
 
-Fitting takes at most FIT_ROWS labelled rows (a seeded Bernoulli draw on the id's digest, set to give
-about that many; all rows if there are fewer). Prediction covers every row.
+Fitting takes every usable labelled row; operator 10 asks for at most FIT_ROWS of them (a seeded Bernoulli
+draw on the id's digest, set to give about that many; all rows if there are fewer). Prediction covers every row.
+The bounds of a fit come from every labelled row out of it, as exact quantiles.
 
 Defined cases: null text, or no letter: `und`, score 0; words are split at white space and
 lower-cased; code points that are no piece count as their bytes; without labelled rows all is `und`;
@@ -27,10 +28,10 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashTable, claim, crc_mod, mapped, prefix_sums, slices, span_hashes, texts_of, tokenizer_path
+from .common import HashTable, claim, crc_mod, discard, mapped, materialise, prefix_sums, slices, span_hashes, texts_of, tokenizer_path
 from .piece_bpe import MARK, MODEL, model
 
-#: Labelled rows that a fit takes, about.
+#: Labelled rows that the fit of operator 10 takes, about.
 FIT_ROWS = 20_000
 #: Added to each piece's count.
 SMOOTHING = 0.05
@@ -40,8 +41,10 @@ MEMO = 200_000
 SLICE_BYTES, STEP = 1 << 20, 8_000
 #: Code points up to which words are summed in plain probabilities; longer ones in logarithms.
 PLAIN = 24
-#: Labelled rows that the bounds of a fit are taken from, about, and fewest rows of a language for it to have one.
-BOUND_ROWS, LEAST_ROWS = 4_000, 20
+#: Fewest labelled rows out of a fit that a language needs to have bounds.
+LEAST_ROWS = 20
+#: Bins a unit that values are counted in to find where a quantile lies.
+BINS = 4096
 #: Characters from which on a text is long: shorter ones get a wider bound.
 LONG = 200
 #: Words whose plain sum is under this, near the end of what a float holds, are summed in logarithms too.
@@ -57,11 +60,12 @@ def piece_counts(rows: DataFrame, path: str) -> dict[str, np.ndarray]:
         size = bpe.library.vocab_size()
         got: dict[str, np.ndarray] = {}
         for b in batches:
-            texts = texts_of(b.column(0)).to_pylist()
-            ids = bpe.library.encode([" ".join(t.lower().split()) for t in texts], num_threads=1)
-            for lang, x in zip(b.column(1).to_pylist(), ids, strict=True):
-                n = np.bincount(np.array(x, np.int64), minlength=size)
-                got[lang] = got[lang] + n if lang in got else n
+            texts = texts_of(b.column(0))
+            for lo, hi, _, _ in slices(texts, SLICE_BYTES):
+                ids = bpe.library.encode([" ".join(t.lower().split()) for t in texts.slice(lo, hi - lo).to_pylist()], num_threads=1)
+                for lang, x in zip(b.column(1).slice(lo, hi - lo).to_pylist(), ids, strict=True):
+                    n = np.bincount(np.array(x, np.int64), minlength=size)
+                    got[lang] = got[lang] + n if lang in got else n
         for lang, n in got.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], names=["lang", "piece", "n"])
@@ -227,28 +231,62 @@ class Unigrams:
 
 
 
-def fit(docs: DataFrame, usable: Column, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = FIT_ROWS, seed: int = 10) -> Unigrams:
+def fit(docs: DataFrame, usable: Column, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int | None = None, seed: int = 10) -> Unigrams:
+    """Learned from all usable labelled rows, or from a draw of about most_rows of them."""
     path = path or tokenizer_path(MODEL)
     rows = docs.where(usable & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    n = rows.count()
-    if n > most_rows:  # a draw on the digest of the id
+    if most_rows is not None and (n := rows.count()) > most_rows:  # a draw on the digest of the id
         rows = rows.where(F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.col(text_col))), F.lit(1 << 20)) < int(most_rows / n * (1 << 20)))
     return Unigrams(piece_counts(rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), path), path)
 
 
-def bounds(docs: DataFrame, unigrams: Unigrams, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = BOUND_ROWS, seed: int = 11) -> dict[str, tuple[float, float]]:
+def quantiles(rows: DataFrame, shares: list[float]) -> dict[str, tuple[int, list[float]]]:
+    """(number of values, their quantiles at `shares`, as numpy.quantile has them) of each lang of the rows (lang, value).
+
+    Exact, by counts: those of the bins tell where the values around a quantile lie, and only the distinct values of
+    these bins come to the driver. The rows are read twice.
+    """
+    rows = rows.withColumn("bin", F.floor(F.col("value") * BINS))
+    bins: dict[str, list[tuple[int, int]]] = {}
+    for r in rows.groupBy("lang", "bin").count().toArrow().to_pylist():
+        bins.setdefault(r["lang"], []).append((r["bin"], r["count"]))
+    ranks, wanted, before = {}, set(), {}
+    for lang, found in bins.items():
+        at, n = np.array(sorted(found), np.int64).T
+        upto = np.cumsum(n)
+        ranks[lang] = [(int(x), min(int(x) + 1, int(upto[-1]) - 1), x % 1) for x in (float((upto[-1] - 1) * q) for q in shares)]
+        for rank in {k for lo, hi, _ in ranks[lang] for k in (lo, hi)}:
+            k = int(np.searchsorted(upto, rank, "right"))
+            wanted.add((lang, int(at[k])))
+            before[lang, int(at[k])] = int(upto[k] - n[k])
+    if not wanted:
+        return {}
+    few = rows.join(F.broadcast(rows.sparkSession.createDataFrame(sorted(wanted), "lang string, bin long")), ["lang", "bin"], "left_semi")
+    inside: dict[tuple[str, int], list[tuple[float, int]]] = {}
+    for r in few.groupBy("lang", "bin", "value").count().toArrow().to_pylist():
+        inside.setdefault((r["lang"], r["bin"]), []).append((r["value"], r["count"]))
+    parts: dict[str, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+    for (lang, k), found in inside.items():
+        values, n = zip(*sorted(found), strict=True)
+        parts.setdefault(lang, []).append((before[lang, k], np.array(values), np.cumsum(n)))
+
+    def value(lang: str, rank: int) -> float:
+        first, values, upto = max((x for x in parts[lang] if x[0] <= rank), key=lambda x: x[0])
+        return float(values[np.searchsorted(upto, rank - first, "right")])
+
+    return {x: (sum(n for _, n in bins[x]), [float(np.quantile([value(x, lo), value(x, hi)], t)) for lo, hi, t in ranks[x]]) for x in bins}
+
+
+def bounds(docs: DataFrame, unigrams: Unigrams, usable: Column, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[float, float]]:
     """(usual log probability a character, most that a long text stays under it) per language.
 
-    From labelled rows, best ones that the fit has not seen: their median, and twice its distance to their
-    hundredth part, so that rare clean texts stay. A language with under LEAST_ROWS rows has no bound.
+    From all usable labelled rows, best ones that the fit has not seen: their median, and twice its distance to
+    their hundredth part, so that rare clean texts stay. A language with under LEAST_ROWS rows has no bound.
     """
     if not unigrams.langs:
         return {}
     shared = docs.sparkSession.sparkContext.broadcast(unigrams)
     rows = docs.where(usable & F.col(text_col).isNotNull() & F.col(lang_col).isin(unigrams.langs))
-    n = rows.count()
-    if n > most_rows:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.col(text_col))), F.lit(1 << 20)) < int(most_rows / n * (1 << 20)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = shared.value
@@ -260,17 +298,13 @@ def bounds(docs: DataFrame, unigrams: Unigrams, usable: Column, id_col: str = "d
                 _, part, points = u.told(texts.slice(lo, hi - lo).to_pylist(), True)
                 lang = b.column(1).slice(lo, hi - lo)
                 own = part[np.arange(hi - lo), [u.langs.index(x) for x in lang.to_pylist()]]
-                yield pa.RecordBatch.from_arrays([lang, pa.array(own), pa.array(points)], names=["lang", "own", "points"])
+                some = points > 0
+                yield pa.RecordBatch.from_arrays([lang.filter(pa.array(some)), pa.array(own[some] / points[some])], names=["lang", "value"])
 
-    found = mapped(rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), run, "lang string, own double, points long", keeps=True).where("points > 0").toArrow()
-    out = {}
-    for lang in unigrams.langs:
-        part = found.filter(pa.compute.equal(found.column("lang"), lang))
-        if len(part) >= LEAST_ROWS:
-            points = part.column("points").to_numpy()
-            usual, low = np.quantile(part.column("own").to_numpy() / points, [0.5, 0.01])
-            out[lang] = float(usual), 2 * float(usual - low)
-    return out
+    found = materialise(mapped(rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), run, "lang string, value double", keeps=True), "bounds")
+    told = quantiles(found, [0.5, 0.01])
+    discard(found)
+    return {x: (told[x][1][0], 2 * (told[x][1][0] - told[x][1][1])) for x in unigrams.langs if x in told and told[x][0] >= LEAST_ROWS}
 
 
 def _fits(u: Unigrams, best: np.ndarray, part: np.ndarray, points: np.ndarray, within: dict[str, tuple[float, float]]) -> np.ndarray:
@@ -333,5 +367,5 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    out = predict(docs, fit(docs, ~held_out()))
+    out = predict(docs, fit(docs, ~held_out(), most_rows=FIT_ROWS))
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
