@@ -4,8 +4,8 @@ Fingerprints are computed in Arrow batches. Distinct fingerprints go into cells
 counts of their two halves (33 x 33 at most); a cell is cut into tiles of bounded size. Two tiles
 are compared bit by bit (numpy exclusive-or and bit counts) unless their population counts already
 differ beyond the radius. A task merges what it finds and passes on a spanning forest only, never
-all pairs; stars made in turn over the forests give the components. Every fingerprint pair within
-the radius is compared, so no link is lost, and equal texts share one fingerprint from the start.
+all pairs; up to LOCAL_EDGES of their edges are joined on the driver, more by stars made in turn, with
+equal components. Every fingerprint pair within the radius is compared, so no link is lost, and equal texts share one fingerprint from the start.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any other; fewer words
 than a shingle make one shingle; a bit set in exactly half the shingles is not set; repeated rows are
@@ -32,6 +32,8 @@ TILE = 8192
 HOT_KEYS = 1000
 #: Rows and columns of one exclusive-or block.
 BLOCK = (256, 4096)
+#: Most forest edges, of 16 bytes, that are joined on the driver.
+LOCAL_EDGES = 1 << 18
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -169,12 +171,35 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def smallest_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes that are no root, their roots) of edges: roots hook on to smaller neighbours until none can."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            rest = root != np.arange(len(nodes))
+            return nodes[rest], nodes[root[rest]]
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != (up := root[root])).any():
+            root = up
+
+
+def components(edges: DataFrame, most_rounds: int = 50, most_local: int = LOCAL_EDGES) -> DataFrame:
     """(node, root) for every node of edges (u, v) that is no root; root is the smallest node it reaches.
 
-    Large and small stars in turn: each node's neighbours move to the smallest of them. Minima are
-    aggregated before they are joined, so that a hub is never gathered in one task.
+    Up to most_local edges come to the driver: a round of stars is over ten exchanges, whose plans, threads
+    and task metrics cost its JVM far more. Beyond, large and small stars in turn: each node's neighbours
+    move to the smallest of them. Minima are aggregated before they are joined, so that a hub is never
+    gathered in one task.
     """
+    if edges.count() <= most_local:
+        found = edges.toArrow()
+        node, root = smallest_reached(found.column("u").to_numpy(), found.column("v").to_numpy())
+        return edges.sparkSession.createDataFrame(pa.table({"node": node, "root": root}), "node long, root long")
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     seen = None
     for _ in range(most_rounds):
@@ -223,8 +248,11 @@ def deduplicated(docs: DataFrame, radius: int = 4) -> DataFrame:
     Among rows with that id the one whose digest of id and text is smallest stays; of rows that
     agree in both, one. The texts are shuffled once, by that digest.
     """
-    rows = _grouped(fingerprints(docs, keep_digest=True), radius)
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("best"))
+    rows = fingerprints(docs, keep_digest=True)
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("best")  # of a fingerprint, then of a group
+    fps = materialise(rows.groupBy("fp").agg(best), "distinct-fingerprints")
+    roots = components(links(fps.select("fp"), radius))
+    best = fps.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp")).agg(F.min("best").alias("best"))
     best = best.select(F.col("best.id").alias("b_id"), F.col("best.digest").alias("b_digest"))
     # one struct column: whatever the columns of docs are called, they meet no others
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("digest"))
