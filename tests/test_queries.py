@@ -46,6 +46,15 @@ def test_query_equals_sql(spark, db, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["refresh_after_append"])
+def test_ids_that_overlap_those_appended(spark, tmp_path, name):
+    """Ids beyond a million: rows of the table itself are in the range that is asked for among those appended."""
+    duckdb.sql(f"COPY (SELECT * REPLACE (event_id * 2500 AS event_id) FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet'")
+    df = queries.QUERIES[name](spark, str(tmp_path))
+    want = duckdb.sql(queries.ORACLE_SQL[name].replace("FROM events", f"FROM '{tmp_path}/events.parquet'"))
+    assert [tuple(r) for r in df.select(*want.columns).collect()] == want.fetchall()
+
+
 def test_every_query_has_sql():
     assert set(queries.QUERIES) == set(queries.ORACLE_SQL)
 
