@@ -46,7 +46,7 @@ def test_query_equals_sql(spark, db, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["refresh_after_append"])
+@pytest.mark.parametrize("name", ["refresh_after_append", "stale_index_safe"])
 def test_ids_that_overlap_those_appended(spark, tmp_path, name):
     """Ids beyond a million: rows of the table itself are in the range that is asked for among those appended."""
     duckdb.sql(f"COPY (SELECT * REPLACE (event_id * 2500 AS event_id) FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet'")
