@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.indexes import BloomFilterIndex, Index, MinMaxIndex, ValueListIndex
 from ..session import SkipSession
+from .ranges import in_ranges
 
 _lock = threading.Lock()
 
@@ -35,7 +36,7 @@ class Layout:
 
     table: str
     by: tuple[str, ...] = ()  # range-partitioned on these
-    files: int = 16
+    files: int = 16  # or more, for a view over a large table
     indexes: tuple[tuple, ...] = ()  # (kind, column[, parameters])
     format: str = "parquet"
     columns: tuple[str, ...] = ()  # SQL of derived columns
@@ -90,8 +91,11 @@ class Workspace:
     def path(self, layout: Layout) -> str:
         return f"{self.root}/{layout.key}"
 
-    def write(self, layout: Layout, df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-        if layout.by:
+    def write(self, layout: Layout, df: DataFrame, path: str, mode: str = "errorifexists", more: bool = False) -> None:
+        """more: the files of the layout are the least there are; a large table has more."""
+        if layout.by and more:
+            df = in_ranges(df, layout.by, layout.files)
+        elif layout.by:
             df = df.repartitionByRange(layout.files, *layout.by).sortWithinPartitions(*layout.by)
         else:
             df = df.repartition(layout.files)
@@ -102,7 +106,7 @@ class Workspace:
         """The name of a view over the indexed copy."""
         name, path = f"wl_{layout.key}", self.path(layout)
         if layout.key not in self.made:
-            self.write(layout, self.read(layout.table).selectExpr("*", *layout.columns), path, "overwrite")
+            self.write(layout, self.read(layout.table).selectExpr("*", *layout.columns), path, "overwrite", more=True)
             if layout.indexes:
                 builder = self.session.dataset(path).index_builder()
                 for i in made_indexes(layout):
