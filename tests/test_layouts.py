@@ -43,3 +43,26 @@ def test_ranges_of_odd_keys(spark, monkeypatch, weight):
     assert [r["id"] for r in out.orderBy("x", "s", "t").select("id", "p").collect()] == [r["id"] for r in out.orderBy("p", "x", "s", "t").collect()]
     sizes = [r["b"] for r in out.groupBy("p").agg(F.sum(ranges.row_bytes(df)).alias("b")).collect()]
     assert len(sizes) > 10 and max(sizes) < 45_000
+
+
+def test_joins_of_large_tables_are_filtered_before_the_shuffle(spark, tmp_path):
+    """With filters that fit the keys of large tables; rows as by SQL, and a session's own settings stay."""
+    import duckdb
+
+    (tmp_path / "sf").symlink_to("/root/testdata/sf0.001")
+    key = "spark.sql.optimizer.runtime.bloomFilter."
+    s = spark.newSession()
+    ws = Workspace(s, str(tmp_path / "sf"))
+    assert s.conf.get(key + "applicationSideScanSizeThreshold") == "64MB"
+    s.conf.set(key + "applicationSideScanSizeThreshold", "1b")
+    s.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    Workspace._all[spark.sparkContext.applicationId, ws.sf_dir] = ws
+    df = queries.QUERIES["join_three"](s, ws.sf_dir)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "might_contain" in plan and "4000000, 67108864" in plan
+    sql = queries.ORACLE_SQL["join_three"]
+    for t in ("customer", "orders", "lineitem"):
+        sql = sql.replace(f" {t} ", f" '{ws.sf_dir}/{t}.parquet' ")
+    assert sorted(map(tuple, df.collect())) == sorted(duckdb.sql(sql).fetchall())
+    Workspace(s, str(tmp_path / "sf"))
+    assert s.conf.get(key + "applicationSideScanSizeThreshold") == "1b"

@@ -16,6 +16,21 @@ from .ranges import in_ranges
 
 _lock = threading.Lock()
 
+_FILTER = "spark.sql.optimizer.runtime.bloomFilter."
+#: Joins of large tables: the rows whose keys the other side's predicates rule out don't reach the shuffle. Where the
+#: scanned side is small nothing changes. (setting, Spark's default, ours)
+FILTERS = (
+    ("applicationSideScanSizeThreshold", "10737418240b", "64MB"), ("creationSideThreshold", "10485760b", "1GB"),
+    ("expectedNumItems", "1000000", "4000000"), ("numBits", "8388608", "67108864"),
+)
+
+
+def filter_joins(spark: SparkSession) -> None:
+    """Runtime filters of a size for large tables, in a session that has left their settings at their defaults."""
+    if all(spark.conf.get(_FILTER + k) == default for k, default, _ in FILTERS):
+        for k, _, ours in FILTERS:
+            spark.conf.set(_FILTER + k, ours)
+
 
 def scratch(spark: SparkSession) -> str:
     """A folder of this application, in the shared one if the cluster names it."""
@@ -66,6 +81,7 @@ class Workspace:
         import hashlib
 
         self.spark, self.sf_dir = spark, sf_dir
+        filter_joins(spark)
         self.root = f"{scratch(spark)}/{hashlib.sha256(sf_dir.encode()).hexdigest()[:12]}"
         self.session = SkipSession(spark).enable()
         self.session.set("winnowlake.parquet.mdlocation", f"{self.root}/metadata")

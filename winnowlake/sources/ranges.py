@@ -46,7 +46,8 @@ def in_ranges(df: DataFrame, by: tuple[str, ...], least: int) -> DataFrame:
     if not rows or total <= RANGE_BYTES:
         return df.repartitionByRange(least, *by).sortWithinPartitions(*by)
     n = max(least, math.ceil(total / RANGE_BYTES))
-    told = df.withColumn("__row", F.monotonically_increasing_id())
+    block = max(0, int(math.log2(max(1, RANGE_BYTES / 64 / most))))  # rows told apart by blocks: the same in many rows, this takes little of a shuffle
+    told = df.withColumn("__row", F.shiftright(F.monotonically_increasing_id(), block))
     keys = [*by, "__row"]
     if most <= EVEN * total / rows:
         dealt = told.repartitionByRange(n, *keys)
